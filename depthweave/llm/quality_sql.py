@@ -2,7 +2,7 @@
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
 ww AS (SELECT doc_id, i, md5(concat_ws(' ', words[i], words[i+1], words[i+2], words[i+3], words[i+4])) AS g
        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM ww) WHERE n > 1),
@@ -10,7 +10,7 @@ cover AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(r
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT w.doc_id, w.source, len(words)::BIGINT AS n_words,
-        coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+        coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN cover USING (doc_id)),
