@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, quality_sql, sharding
+from . import decontamination, packing, quality_rules, quality_sql, secret_scans, sharding
 
-_MODULES = (decontamination, sharding, quality_rules)
+_MODULES = (decontamination, sharding, quality_rules, secret_scans, packing)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {**quality_sql.SQL}
