@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, quality_sql, secret_scans, sharding, token_files
+from . import decontamination, jaccard_join, packing, quality_rules, quality_sql, secret_scans, sharding, token_files
 
-_MODULES = (decontamination, sharding, quality_rules, secret_scans, packing, token_files)
+_MODULES = (decontamination, sharding, quality_rules, secret_scans, packing, jaccard_join, token_files)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {**quality_sql.SQL}
