@@ -7,7 +7,7 @@ that reach the threshold share a shingle within their prefixes. Classes meet on
 in two rounds: first each with the least class of the shingle, then, of the shingles whose classes
 are still in different groups, all pairs of different groups that pass the length and positional
 filters. A pair is verified once, on its two texts, after a suffix filter that bounds the overlap
-by counts over ranges of the hash. Pairs inside a group that is already connected are not made:
+by counts over RANGES ranges of the hash. Pairs inside a group that is already connected are not made:
 no group's size is squared, yet every link between different groups is found.
 
 A null or wordless text has an empty set and is linked with nothing; its component is its own
@@ -30,6 +30,8 @@ from .words import blank_table, grams, mix, pieces, split
 _TABLE = blank_table(lower=True)
 SKETCH, CHUNKS = 1 << 22, 64
 BLOOM = 1 << 25
+RANGES = 128
+HOT = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -51,15 +53,24 @@ def class_of(s: np.ndarray) -> int:
     return int(parts.sum(dtype=np.uint64).astype(np.int64))
 
 
+def range_counts(sets: list[np.ndarray]) -> list[bytes]:
+    """For the suffix filter: members in each of RANGES equal ranges of the hash (16 bits each)."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    at = of * RANGES + (every >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(sets) * RANGES).reshape(len(sets), RANGES)
+    return [x.tobytes() for x in np.minimum(counts, 65535).astype(np.uint16)]
+
+
 def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cls) of every document."""
+    """(doc_id, n, cls, ranges) of every document."""
 
     def run(batches):
         for b in pieces(batches, "text"):
             sets = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(range_counts(sets), pa.binary())], names=["doc_id", "n", "cls", "ranges"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, ranges binary")
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
@@ -96,47 +107,87 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _postings(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
-    """(token, cls, n, pos) of the prefixes of all sets; equal sets of a batch count once."""
+def _postings(docs: DataFrame, k: int, num: int, den: int, rank, buckets: int) -> DataFrame:
+    """(token, cls, n, pos, hub, hub_n, hub_pos) of prefix shingles that two classes or more have.
 
-    def run(batches):
+    Postings go to their bucket packed, 20 bytes each; hub is the shingle's least class. Shingles
+    that the sketch counts more than HOT times are dealt over several buckets and have no hub yet.
+    """
+
+    def send(batches):
         order = rank.value
+        hot = 256 * np.log2(HOT + 1.0)
         for b in pieces(batches, "text"):
             sets = {class_of(s): s for s in shingle_sets(b.column("text"), k) if len(s)}
-            token, cls, n, pos = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+            token, cls, n, pos, salt = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
             for c, s in sets.items():
-                m = prefix_length(len(s), num, den)
-                rare = np.argsort(order[(s % SKETCH).astype(np.int64)], kind="stable")[:m]
+                freq = order[(s % SKETCH).astype(np.int64)]
+                rare = np.argsort(freq, kind="stable")[: prefix_length(len(s), num, den)]
                 token.append(s[rare])
-                pos.append(np.arange(m))
+                pos.append(np.arange(len(rare), dtype=np.uint32))
                 cls.append(c)
                 n.append(len(s))
+                over = freq[rare]
+                salt.append(np.where(over > hot, 1 + c % np.maximum(1, 2 ** np.maximum(0, np.ceil((over - hot) / 256)).astype(np.int64)), 0))
             m = [len(x) for x in token[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), m)), pa.array(np.repeat(np.array(n, np.int64), m)), pa.array(np.concatenate(pos))], names=["token", "cls", "n", "pos"])
-
-    return docs.select("text").mapInArrow(run, "token long, cls long, n long, pos long")
+            token, pos, salt = np.concatenate(token), np.concatenate(pos), np.concatenate(salt)
+            cls, n = np.repeat(np.array(cls, np.int64), m), np.repeat(np.array(n, np.uint32), m)
+            where = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) + salt * buckets
+            by = np.argsort(where, kind="stable")
+            cut = np.flatnonzero(np.diff(where[by])) + 1
+            rows = [(int(where[i[0]]), b"".join(x.tobytes() for x in (token[i].astype(np.uint32), cls[i], n[i], pos[i]))) for i in np.split(by, cut) if len(i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for data in group["data"]:
+            m = len(data) // 20
+            parts.append([np.frombuffer(data, kind, m, at * m) for kind, at in ((np.uint32, 0), (np.int64, 4), (np.uint32, 12), (np.uint32, 16))])
+        token, cls, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((pos, cls, token))
+        token, cls, n, pos = token[by], cls[by], n[by].astype(np.int64), pos[by].astype(np.int64)
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls, n, pos = token[fresh], cls[fresh], n[fresh], pos[fresh]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
+        bucket = int(group["bucket"].iloc[0])
+        keep = np.repeat((size > 1) | (bucket >= buckets), size)
+        hub = np.repeat(start, size)[keep]
+        out = pd.DataFrame({"token": token[keep].astype(np.int64) + ((bucket % buckets) << 32), "cls": cls[keep], "n": n[keep], "pos": pos[keep], "hub": cls[hub], "hub_n": n[hub], "hub_pos": pos[hub]})
+        if bucket >= buckets:
+            out[["hub", "hub_n", "hub_pos"]] = -1
+            out["hub_n"] = 0
+        return out
+
+    return docs.select("text").mapInArrow(send, "bucket long, data binary").groupBy("bucket").applyInPandas(meet, "token long, cls long, n long, pos long, hub long, hub_n long, hub_pos long")
+
+
+def _may_reach(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The suffix filter: pairs whose counts by hash range allow the overlap they need."""
+    one = reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
+    two = reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
 
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int64) for c in ("r_a", "r_b"))
+            both = np.where((x == 65535) | (y == 65535), np.maximum(x, y) * 1000, np.minimum(x, y)).sum(axis=1)
+            ok = (den + num) * both >= num * (b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """At most so many common members: the suffix filter, over 16 equal ranges of the hash."""
-    cut = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-    a = np.diff(np.concatenate([[0], np.searchsorted(x, cut), [len(x)]]))
-    b = np.diff(np.concatenate([[0], np.searchsorted(y, cut), [len(y)]]))
-    return int(np.minimum(a, b).sum())
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """den * |x & y| >= num * |x | y|, for sets that aren't empty."""
     need = num * (len(x) + len(y))
-    if (den + num) * min(len(x), len(y)) < need or (den + num) * overlap_bound(x, y) < need:
-        return False
-    return (den + num) * len(np.intersect1d(x, y, assume_unique=True)) >= need
+    return (den + num) * min(len(x), len(y)) >= need and (den + num) * len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(reps, "cls"), "nodes")
+    wanted = written(nodes.join(reps.select("cls", "rep"), "cls"), "nodes")
     bits = _bloom(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -219,33 +270,41 @@ def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     classes = written(_classes(docs, k), "classes")
-    reps = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    prefixes = classes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0]
+    reps = written(classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "reps")
     rank = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
-    all_postings = written(_postings(docs, k, num, den, rank), "prefixes")
-    tokens = all_postings.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("token", "hub")
-    postings = written(all_postings.join(tokens, "token").distinct(), "postings")
-    discard(all_postings)
-    first = written(postings.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    postings = written(_postings(docs, k, num, den, rank, max(4, int(prefixes) // 400_000)), "postings")
+
+    def near(x: str, y: str):
+        """The length filter, and the positional filter on a common shingle."""
+        n, m, i, j = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"pos{x}"), F.col(f"pos{y}")
+        bound = F.least(n - i, m - j) + F.least(i, j)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * bound >= num * (n + m))
+
+    own = postings.withColumnsRenamed({"n": "n_x", "pos": "pos_x", "hub_n": "n_y", "hub_pos": "pos_y"})
+    salted = postings.where("hub_n = 0")
+    hubs = salted.groupBy("token").agg(F.min("cls").alias("least"))
+    first = own.where("n_y > 0 and cls <> hub").where(near("_x", "_y")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    first = first.union(salted.join(hubs, "token").where("cls <> least").select("cls", "least")).distinct()
+    first = written(_may_reach(first, reps, num, den), "pairs")
     links = written(_verified(docs, reps, first, k, num, den), "links")
     labels = connected(links)
 
-    marked = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("token", "cls", "n", "pos", "label")
+    marked = postings.select("token", "cls", "n", "pos").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("token", "cls", "n", "pos", "label")
     marked = written(marked, "marked")
-    split_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_ = marked.join(split_, "token")
+    apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    open_ = marked.join(apart, "token")
     x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "label")]) for s in "xy")
-    bound = F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y")) + F.least("pos_x", "pos_y")
-    near = (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")) & ((num + den) * bound >= num * (F.col("n_x") + F.col("n_y")))
-    rest = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near)
+    rest = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y"))
     rest = rest.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs")
+    rest = written(_may_reach(rest, reps, num, den), "pairs")
     more = written(_verified(docs, reps, rest, k, num, den), "links")
     if not more.isEmpty():
         labels = connected(links.union(more))
-    labelled = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = reps.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "label").select("cls", "component_id")
-    out = classes.join(named, "cls", "left")
+    out = classes.drop("ranges").join(named, "cls", "left")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
