@@ -1,4 +1,6 @@
-"""Queries over the market-data operators."""
+"""All queries of the market-data operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import market, market_sql
+
+QUERIES = market.QUERIES
+SQL = market_sql.SQL
