@@ -3,7 +3,8 @@
 Words are runs without ASCII white space. A document fails by itself when it has too few words
 or too large a share of words in repeated five-word windows. Failures are summed by host, each
 host's rate is shrunk toward the corpus by a beta prior fitted to all hosts by moments, and a
-host whose shrunk rate exceeds `host_limit` is rejected with all its documents.
+host whose shrunk rate exceeds `host_limit` by `sure` posterior standard deviations is rejected
+with all its documents, so that a host of a few documents isn't judged by one failure.
 
 Null texts count as empty (they fail); a null host is a host of its own; repeated documents
 count each; an empty table gives an empty result; other columns are kept untouched.
@@ -54,7 +55,7 @@ def document_measures(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def host_verdicts(marked: DataFrame, host: str, host_limit: float = 0.5, least_hosts: int = 3) -> DataFrame:
+def host_verdicts(marked: DataFrame, host: str, host_limit: float = 0.5, least_hosts: int = 3, sure: float = 2.0) -> DataFrame:
     """One row per host: n, failed, shrunk_rate and host_rejected.
 
     The prior's mean and strength come from the mean and variance of the hosts' rates; with fewer
@@ -73,7 +74,8 @@ def host_verdicts(marked: DataFrame, host: str, host_limit: float = 0.5, least_h
     else:
         mean, strength = prior["f"] / prior["t"], prior["t"] / prior["k"]
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > host_limit)
+    spread_of = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.col("n") + F.lit(strength + 1)))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") - sure * spread_of > host_limit)
 
 
 def apply_rules(df: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5) -> DataFrame:

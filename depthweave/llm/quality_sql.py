@@ -20,9 +20,10 @@ p AS (SELECT sum(failed) AS f, sum(n) AS t, count(*) AS k, avg(failed / n) AS m,
 q AS (SELECT *, k >= 3 AND v - m * (1 - m) * r > 1e-12 AND m > 0 AND m < 1 AS fitted FROM p),
 b AS (SELECT CASE WHEN fitted THEN m ELSE f / t END AS mean,
         CASE WHEN fitted THEN greatest(1.0::DOUBLE, m * (1 - m) / (v - m * (1 - m) * r) - 1) ELSE t / k END AS strength FROM q),
-s AS (SELECT h.source, (failed + mean * strength) / (n + strength) AS rate FROM h, b)
+r AS (SELECT h.source, n, strength, (failed + mean * strength) / (n + strength) AS rate FROM h, b),
+s AS (SELECT source, rate, rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5 AS bad FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT rate > 0.5 AS kept, rate > 0.5 AS host_rejected, round(rate, 6) AS shrunk_rate
+       NOT base_failed AND NOT bad AS kept, bad AS host_rejected, round(rate, 6) AS shrunk_rate
 FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
 """
 

@@ -21,22 +21,24 @@ count and score each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, shared_dir, written
 from .words import blank_table, mix, pieces, split
 
 _TABLE = blank_table(lower=True)
 END = np.uint64(0x9D39247E33776D41)
-_LEFT = np.uint64(0xD6E8FEB86659FD93)
+_NONE = np.uint64(2**64 - 1)
 _ROW = "bucket int, block long, kind int, data binary"
 DISCOUNT = 0.75
 
@@ -61,9 +63,27 @@ def held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def make_blocks(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
+def pack(x: np.ndarray) -> bytes:
+    """An array's bytes, like ones together, compressed."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _ids_bytes(parts: list[pa.Array]) -> bytes:
+    """Identifiers of any type, nulls included, as bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", parts[0].type)])) as out:
+        for x in parts:
+            out.write_batch(pa.record_batch([x], names=["id"]))
+    return sink.getvalue().to_pybytes()
+
+
+def make_blocks(docs: DataFrame, limit: int = 8 << 20) -> DataFrame:
     """Blocks of about `limit` bytes of text: identifiers, token counts, word numbers, words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -73,14 +93,19 @@ def make_blocks(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
                 w = split(b.column("text"), _TABLE)
                 lens.append(np.diff(w.ptr) + 1)
                 hashes.append(np.insert(w.hashes, w.ptr[1:], END))
-            keys, tok = np.unique(np.concatenate(hashes), return_inverse=True)
+            keys, tok, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            keys, tok = keys[order], rank[tok]
             ids = [x for b in rows for x in b.column("doc_id").to_pylist()]
             n = np.concatenate(lens)
-            train = int(n[[not held_out(x) for x in ids]].sum())
-            cols = [pa.array([(part << 32) + number], pa.int64()), pa.array([ids], pa.list_(rows[0].column("doc_id").type)), *(pa.array([x.tobytes()], pa.binary()) for x in (n.astype(np.int64), tok.astype(np.uint32), keys)), pa.array([len(tok)], pa.int64()), pa.array([train], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lens", "tok", "keys", "n", "train"])
+            out = [held_out(x) for x in ids]
+            train = int(n[~np.array(out, bool)].sum())
+            cols = [pa.array([(part << 32) + number], pa.int64()), *(pa.array([x], pa.binary()) for x in (_ids_bytes([b.column("doc_id") for b in rows]), bytes(out), pack(n.astype(np.int64)), pack(tok.astype(np.uint32)), pack(keys))), pa.array([len(tok)], pa.int64()), pa.array([train], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "out", "lens", "tok", "keys", "n", "train"])
 
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, lens binary, tok binary, keys binary, n long, train long")
+    return docs.mapInArrow(run, "block long, ids binary, out binary, lens binary, tok binary, keys binary, n long, train long")
 
 
 def _gather(batches, limit):
@@ -100,9 +125,9 @@ class Block:
 
     def __init__(self, row, answers: dict, tree: Tree):
         self.tree, self.answers = tree, answers
-        self.ids, self.keys = list(row["ids"]), np.frombuffer(row["keys"], np.uint64)
-        self.lens, self.tok = np.frombuffer(row["lens"], np.int64), np.frombuffer(row["tok"], np.uint32)
-        self.out = np.array([held_out(x) for x in self.ids], bool)
+        self.ids, self.keys = row["ids"], unpack(row["keys"], np.uint64)
+        self.lens, self.tok = unpack(row["lens"], np.int64), unpack(row["tok"], np.uint32)
+        self.out = np.frombuffer(row["out"], np.uint8).astype(bool)
         self.train = np.repeat(~self.out, self.lens)
         first = np.cumsum(self.lens) - self.lens
         self.place = np.arange(len(self.tok)) - np.repeat(first, self.lens)
@@ -110,20 +135,24 @@ class Block:
     def word_request(self) -> tuple[np.ndarray, np.ndarray]:
         return self.keys, np.bincount(self.tok[self.train], minlength=len(self.keys))
 
-    def send(self, kind: int, keys, count, ctx=None, q=None):
-        """Rows of (bucket, block, kind, data), and so the order in which answers will come."""
-        where = (keys >> np.uint64(32)) % np.uint64(self.tree.buckets)
-        order = np.argsort(where, kind="stable")
+    def _dealt(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's bucket, and the order in which keys are sent and answered."""
+        where = ((mix(keys) >> np.uint64(20)) % np.uint64(self.tree.buckets)).astype(np.int64)
+        return where, np.lexsort((keys, where))
+
+    def send(self, kind: int, keys, count, q=None):
+        """Rows of (bucket, kind, data)."""
+        where, order = self._dealt(keys)
         cut = np.flatnonzero(np.diff(where[order])) + 1
         for at in np.split(order, cut) if len(order) else []:
-            zero = np.zeros(len(at), np.uint32)
-            parts = keys[at], count[at].astype(np.uint32), zero if ctx is None else ctx[at].astype(np.uint32), zero if q is None else q[at].astype(np.float32)
-            yield int(where[at[0]]), kind, b"".join(x.tobytes() for x in parts)
+            parts = [pack(keys[at]), pack(count[at].astype(np.uint32))]
+            if q is not None:
+                parts.append(pack(q[at].astype(np.float32)))
+            yield int(where[at[0]]), kind, b"".join(len(x).to_bytes(4, "little") + x for x in parts)
 
     def answered(self, kind: int, keys) -> np.ndarray:
-        where = (keys >> np.uint64(32)) % np.uint64(self.tree.buckets)
-        order = np.argsort(where, kind="stable")
-        got = [np.frombuffer(d, np.uint32) for _, d in sorted(self.answers.get(kind, []))]
+        _, order = self._dealt(keys)
+        got = [unpack(d, np.uint32) for _, d in sorted(self.answers.get(kind, []))]
         out = np.zeros(len(keys), np.int64)
         out[order] = np.concatenate(got) if got else []
         return out
@@ -136,19 +165,21 @@ class Block:
         self.count, self.chance = count[self.tok], chance[self.tok]
 
     def events(self, d: int):
-        """Where a context of length d fits: the tokens, the contexts' numbers, the distinct keys."""
+        """Where a context of length d fits: the tokens, the contexts' numbers, the distinct keys.
+
+        An event's key has its context's number above and 32 bits of the next word's hash below;
+        where it is frequent, it is a candidate context of length d + 1 for the token after it.
+        """
         keys = self.tree.keys[d - 1]
         h = self.keys[self.tok]
-        if d == 1:
-            self.gram = h
-        at = np.flatnonzero(self.place >= d)
-        ctx = np.searchsorted(keys, own := self.gram[at - 1]) if len(keys) else np.zeros(len(at), np.int64)
-        ok = np.flatnonzero(keys[np.minimum(ctx, len(keys) - 1)] == own) if len(keys) else np.zeros(0, np.int64)
+        at = np.flatnonzero(self.place >= d) if len(keys) else np.zeros(0, np.int64)
+        own = h[at - 1] if d == 1 else self.event[at - 1]
+        ctx = np.searchsorted(keys, own)
+        ok = np.flatnonzero(keys[np.minimum(ctx, len(keys) - 1)] == own) if len(keys) else at
         at, ctx = at[ok], ctx[ok]
-        longer = np.zeros_like(h)
-        longer[d:] = mix(h[:-d] * _LEFT + self.gram[d:]) if len(h) > d else 0
-        self.gram = longer
-        key, first, which = np.unique(longer[at], return_index=True, return_inverse=True)
+        self.event = np.full(len(h), _NONE)
+        self.event[at] = (ctx.astype(np.uint64) << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
+        key, first, which = np.unique(self.event[at], return_index=True, return_inverse=True)
         return at, ctx, key, first, which
 
     def extend(self, d: int, events) -> None:
@@ -166,9 +197,9 @@ class Block:
         self.words()
         for k in range(1, d):
             self.extend(k, self.events(k))
-        at, ctx, key, first, which = self.events(d)
+        at, _, key, first, which = self.events(d)
         count = np.bincount(which[self.train[at]], minlength=len(key)) if len(key) else np.zeros(0, np.int64)
-        yield from self.send(d, key, count, ctx[first], self.chance[at][first])
+        yield from self.send(d, key, count, self.chance[at][first])
 
     def scores(self) -> pd.DataFrame:
         self.words()
@@ -182,27 +213,33 @@ class Block:
             return s[ends] - s[ends - self.lens]
 
         base = np.log10((self.count + 1) / (t.tokens + t.words + 1))
-        return pd.DataFrame({"doc_id": self.ids, "held_out": self.out, "n_tokens": self.lens, "n_known": per(self.count > 0), "train_tokens": t.tokens, "base_score": [x.sum() for x in np.split(base, ends[:-1])], "score": [x.sum() for x in np.split(np.log10(self.chance), ends[:-1])]})
+        ids = pa.ipc.open_stream(self.ids).read_all().column("id").to_pylist()
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "held_out": self.out, "n_tokens": self.lens, "n_known": per(self.count > 0), "train_tokens": t.tokens, "base_score": [x.sum() for x in np.split(base, ends[:-1])], "score": [x.sum() for x in np.split(np.log10(self.chance), ends[:-1])]})
 
 
 def _sum_bucket(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """Add up equal keys of a bucket; answers to its blocks, and its part of the statistics."""
     parts = []
     for data in group["data"]:
-        n = len(data) // 20
-        parts.append((np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n), np.frombuffer(data, np.uint32, n, 12 * n), np.frombuffer(data, np.float32, n, 16 * n)))
-    key, count, ctx, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+        fields, at = [], 0
+        for part in (np.uint64, np.uint32, np.float32):
+            if at < len(data):
+                n = int.from_bytes(data[at : at + 4], "little")
+                fields.append(unpack(data[at + 4 : at + 4 + n], part))
+                at += 4 + n
+        parts.append(fields)
+    key, count, *more_fields = (np.concatenate(x) for x in zip(*parts, strict=True))
     own, first, which = np.unique(key, return_index=True, return_inverse=True)
     n = np.bincount(which, weights=count).astype(np.int64)
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
-    answers = [x.astype(np.uint32).tobytes() for x in np.split(n[which], cut)]
+    answers = [pack(x.astype(np.uint32)) for x in np.split(n[which], cut)]
     kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
     live = n > 0
     often = live & (n >= least)
     sums = np.array([live.sum(), (n == 1).sum(), (n == 2).sum()], np.int64)
     stats = [(-1, sums.tobytes()), (-2, own[often].tobytes())]
     if kind:
-        c, m, p = ctx[first][live], n[live], q[first][live].astype(np.float64)
+        c, m, p = own[live] >> np.uint64(32), n[live], more_fields[0][first][live].astype(np.float64)
         seen, at = np.unique(c, return_inverse=True)
         more = m >= 2
         logs = np.where(more, m * np.log(np.maximum(m - 1 - DISCOUNT, 1e-9) / p), 0.0)
@@ -216,6 +253,20 @@ def _exchange(requests: DataFrame, least: float) -> DataFrame:
     return written(requests.groupBy("bucket").applyInPandas(lambda g: _sum_bucket(g, least), _ROW), "answers")
 
 
+def _stored(blocks: DataFrame) -> DataFrame:
+    """The blocks written once, bucketed by block, so that answers come to them and they stay."""
+    spark = blocks.sparkSession
+    plain = written(blocks, "blocks")
+    n = max(8, plain.count())
+    name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    plain.repartition(n, "block").write.bucketBy(n, "block").sortBy("block").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: the catalog's entry can go, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    discard(plain)
+    return out
+
+
 def _with_answers(blocks: DataFrame, answers: list[DataFrame], f, schema: str) -> DataFrame:
     got = answers[0]
     for a in answers[1:]:
@@ -263,18 +314,19 @@ def _note_contexts(tree: Tree, answers: DataFrame, gain: float) -> None:
     tree.keys.append(np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64))
 
 
-def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 2, least_share: float = 1e-4, gain: float = 0.002, bucket_tokens: int = 2_500_000) -> DataFrame:
+def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 2, least_share: float = 1e-4, gain: float = 0.002, bucket_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = written(make_blocks(docs), "blocks")
+    blocks = _stored(make_blocks(docs))
     n, train = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     tree = Tree(depth=depth, buckets=max(4, math.ceil(n / bucket_tokens)), tokens=train, least=max(4.0, least_share * train))
     schema = ", ".join(f"{c} {t}" for c, t in (("doc_id", kind), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")))
 
     def ask_words(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(len(b)):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 block = Block(row, {}, tree)
                 rows = list(block.send(0, *block.word_request()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "kind", "data"])
