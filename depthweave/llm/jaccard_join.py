@@ -1,14 +1,18 @@
 """N-gram Jaccard join by rare-first prefix filtering, and the groups its links form.
 
 A document's set is its distinct k-word shingles (one whole-sequence shingle where it has fewer
-words). Equal sets are one class from the start. Shingles are ordered by a count sketch over all
-documents (SKETCH counters, a fixed size, sent to all tasks) and then by hash, so any two sets
-that reach the threshold share a shingle within their prefixes. Classes meet on prefix shingles
-in two rounds: first each with the least class of the shingle, then, of the shingles whose classes
-are still in different groups, all pairs of different groups that pass the length and positional
-filters. A pair is verified once, on its two texts, after a suffix filter that bounds the overlap
-by counts over RANGES ranges of the hash. Pairs inside a group that is already connected are not made:
-no group's size is squared, yet every link between different groups is found.
+words). Equal sets are one class from the start. Shingles are ordered by how many documents have
+them, then by hash, so any two sets that reach the threshold share a shingle within their
+prefixes. The counts are exact, by packed exchange: a block of texts sends each bucket of the hash
+space its shingles, and the bucket answers with those that another class has too. A shingle of one
+class can't be met, so it holds its place at the front of the prefix and goes no further.
+
+Classes meet on prefix shingles: in star rounds each with the most central class of the shingle
+(the one with the smallest share of unshared shingles), then, of the shingles whose classes are
+still in different groups, all pairs of different groups. Length and positional filters come
+first; a suffix filter bounds the overlap by counts over RANGES ranges of the hash; then a pair is
+verified, once, on its two texts. Pairs inside a group that is already connected are not made: no
+group's size is squared, yet every link between different groups is found.
 
 A null or wordless text has an empty set and is linked with nothing; its component is its own
 identifier. Repeated rows get a row each. An empty table gives an empty result.
@@ -21,6 +25,8 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +34,12 @@ from .scratch import discard, written
 from .words import blank_table, grams, mix, pieces, split
 
 _TABLE = blank_table(lower=True)
-SKETCH, CHUNKS = 1 << 22, 64
 BLOOM = 1 << 25
 RANGES = 128
-HOT = 1 << 20
+BLOCK = 8 << 20  # bytes of text
+CROWD = 64
+_CROWDED = np.uint32(2**32 - 1)
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -73,94 +81,170 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, ranges binary")
 
 
-def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """Over all documents, a rank by frequency for each sketch counter (lower: rarer)."""
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Shingles of a set of n that any set at the threshold must share one of."""
+    return n - -(-n * num // den) + 1
 
-    def count(batches):
-        sketch, each = np.zeros(SKETCH, np.uint32), SKETCH // CHUNKS
-        for b in pieces(batches, "text"):
-            sets = shingle_sets(b.column("text"), k)
-            if sets:
-                sketch += np.bincount((np.concatenate(sets) % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        for i in range(CHUNKS):
-            part = sketch[i * each : (i + 1) * each]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
-                sums[i] = sums[i] + part if i in sums else part
-        for i, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
 
-    total = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint64)
-    for i, data in docs.select("text").mapInArrow(count, "chunk int, data binary").repartition("chunk").mapInArrow(add, "chunk int, data binary").collect():
-        total[i] = np.frombuffer(zlib.decompress(data), np.uint64)
-    return np.minimum(256 * np.log2(total.reshape(-1) + 1.0), 65535).astype(np.uint16)
+def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes, like ones together, compressed."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    """Shingles of a set of n that any set at the threshold must share one of."""
-    return n - -(-n * num // den) + 1
+def _unpack(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _blocks(batches, k: int):
+    """(block, cls, n, token, doc) of blocks of texts; equal sets of a block count once."""
+    part, number, held, size = TaskContext.get().partitionId(), 0, {}, 0
 
+    def made():
+        cls, sets = np.array(list(held), np.int64), list(held.values())
+        n = np.array([len(s) for s in sets], np.int64)
+        mark = int(mix(cls.view(np.uint64)).sum(dtype=np.uint64) >> np.uint64(40)) if len(cls) else 0
+        return (part << 44) + (number << 24) + mark, cls, n, np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), n)
 
-def _postings(docs: DataFrame, k: int, num: int, den: int, rank, buckets: int) -> DataFrame:
-    """(token, cls, n, pos, hub, hub_n, hub_pos) of prefix shingles that two classes or more have.
+    for b in pieces(batches, "text"):
+        for s in shingle_sets(b.column("text"), k):
+            if len(s):
+                held[class_of(s)] = s
+        size += b.column("text").nbytes
+        if size >= BLOCK:
+            if held:
+                yield made()
+            number, held, size = number + 1, {}, 0
+    if held:
+        yield made()
 
-    Postings go to their bucket packed, 20 bytes each; hub is the shingle's least class. Shingles
-    that the sketch counts more than HOT times are dealt over several buckets and have no hub yet.
+
+def _local(token: np.ndarray, doc: np.ndarray):
+    """Shingles in order, and which of them too many of the block's texts have."""
+    by = np.argsort(token, kind="stable")
+    token, doc = token[by], doc[by]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(start, len(token)))
+    return token, doc, start, size, size > CROWD
+
+
+_SENT = "kind int, key long, block long, data binary"
+
+
+def _ask(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """To each bucket: a block's shingles (low 32 bits, in order), their texts, the texts' classes.
+
+    A shingle that more than CROWD texts of the block have is sent once, with its count.
     """
 
-    def send(batches):
-        order = rank.value
-        hot = 256 * np.log2(HOT + 1.0)
-        for b in pieces(batches, "text"):
-            sets = {class_of(s): s for s in shingle_sets(b.column("text"), k) if len(s)}
-            token, cls, n, pos, salt = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-            for c, s in sets.items():
-                freq = order[(s % SKETCH).astype(np.int64)]
-                rare = np.argsort(freq, kind="stable")[: prefix_length(len(s), num, den)]
-                token.append(s[rare])
-                pos.append(np.arange(len(rare), dtype=np.uint32))
-                cls.append(c)
-                n.append(len(s))
-                over = freq[rare]
-                salt.append(np.where(over > hot, 1 + c % np.maximum(1, 2 ** np.maximum(0, np.ceil((over - hot) / 256)).astype(np.int64)), 0))
-            m = [len(x) for x in token[1:]]
-            token, pos, salt = np.concatenate(token), np.concatenate(pos), np.concatenate(salt)
-            cls, n = np.repeat(np.array(cls, np.int64), m), np.repeat(np.array(n, np.uint32), m)
-            where = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) + salt * buckets
-            by = np.argsort(where, kind="stable")
-            cut = np.flatnonzero(np.diff(where[by])) + 1
-            rows = [(int(where[i[0]]), b"".join(x.tobytes() for x in (token[i].astype(np.uint32), cls[i], n[i], pos[i]))) for i in np.split(by, cut) if len(i)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for data in group["data"]:
-            m = len(data) // 20
-            parts.append([np.frombuffer(data, kind, m, at * m) for kind, at in ((np.uint32, 0), (np.int64, 4), (np.uint32, 12), (np.uint32, 16))])
-        token, cls, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((pos, cls, token))
-        token, cls, n, pos = token[by], cls[by], n[by].astype(np.int64), pos[by].astype(np.int64)
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n, pos = token[fresh], cls[fresh], n[fresh], pos[fresh]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(start, len(token)))
-        bucket = int(group["bucket"].iloc[0])
-        keep = np.repeat((size > 1) | (bucket >= buckets), size)
-        hub = np.repeat(start, size)[keep]
-        out = pd.DataFrame({"token": token[keep].astype(np.int64) + ((bucket % buckets) << 32), "cls": cls[keep], "n": n[keep], "pos": pos[keep], "hub": cls[hub], "hub_n": n[hub], "hub_pos": pos[hub]})
-        if bucket >= buckets:
-            out[["hub", "hub_n", "hub_pos"]] = -1
-            out["hub_n"] = 0
-        return out
-
-    return docs.select("text").mapInArrow(send, "bucket long, data binary").groupBy("bucket").applyInPandas(meet, "token long, cls long, n long, pos long, hub long, hub_n long, hub_pos long")
+    def run(batches):
+        for block, cls, _, token, doc in _blocks(batches, k):
+            token, doc, start, size, crowded = _local(token, doc)
+            keep = ~np.repeat(crowded, size)
+            tokens, docs_, counts = np.concatenate([token[keep], token[start[crowded]]]), np.concatenate([doc[keep], np.full(crowded.sum(), _CROWDED, np.uint32)]), np.concatenate([np.ones(keep.sum(), np.uint32), size[crowded].astype(np.uint32)])
+            where = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((docs_, tokens & np.uint64(0xFFFFFFFF), where))
+            rows = []
+            for at in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
+                low = (tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows.append((int(where[at[0]]), _joined([_pack(np.diff(low, prepend=np.uint32(0))), _pack(docs_[at]), _pack(counts[at]), _pack(cls)])))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "key", "block", "data"])
+
+    return docs.select("text").mapInArrow(run, _SENT)
+
+
+def _keep(docs: DataFrame, k: int) -> DataFrame:
+    """What a block keeps: its classes and set sizes, and who has its crowded shingles."""
+
+    def run(batches):
+        for block, cls, n, token, doc in _blocks(batches, k):
+            token, doc, _, size, crowded = _local(token, doc)
+            own = np.repeat(crowded, size)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([block], pa.int64()), pa.array([_joined([_pack(cls), _pack(n), _pack(token[own]), _pack(doc[own])])], pa.binary())], names=["kind", "key", "block", "data"])
+
+    return docs.select("text").mapInArrow(run, _SENT)
+
+
+def _answer(group: pd.DataFrame) -> pd.DataFrame:
+    """To each block: which of its shingles more than one class has, and in how many texts."""
+    parts = []
+    for i, data in enumerate(group["data"]):
+        low, doc, count, cls = _parted(data)
+        low, doc, count, cls = np.cumsum(_unpack(low, np.uint32), dtype=np.uint32), _unpack(doc, np.uint32), _unpack(count, np.uint32), _unpack(cls, np.int64)
+        parts.append((low, doc, count, np.where(doc == _CROWDED, -1, cls[np.minimum(doc, len(cls) - 1)]), np.full(len(low), i)))
+    low, doc, count, cls, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(low, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(low[by]) != 0]))
+    size = np.diff(np.append(start, len(by)))
+    total = np.add.reduceat(count[by].astype(np.int64), start)
+    shared = (np.minimum.reduceat(cls[by], start) != np.maximum.reduceat(cls[by], start)) | np.logical_or.reduceat(doc[by] == _CROWDED, start)
+    keep = np.sort(by[np.repeat(shared, size)])
+    seen = np.empty(len(by), np.int64)
+    seen[by] = np.repeat(total, size)
+    bucket, rows = int(group["key"].iloc[0]), []
+    for i, block in enumerate(group["block"]):
+        lo, hi = np.searchsorted(of[keep], [i, i + 1])
+        at = keep[lo:hi]
+        if len(at):
+            rows.append((2, bucket, block, _joined([_pack(low[at]), _pack(doc[at]), _pack(np.minimum(seen[at], 2**31).astype(np.uint32))])))
+    return pd.DataFrame(rows, columns=["kind", "key", "block", "data"])
+
+
+def _choose(group: pd.DataFrame, num: int, den: int, buckets: int) -> pd.DataFrame:
+    """The postings of a block: of each set's prefix, the shingles that can be met."""
+    kept = group[group["kind"] == 1]
+    if len(kept) != 1:
+        raise RuntimeError("a block was not read alike twice")
+    cls, n, crowd_token, crowd_doc = _parted(kept["data"].iloc[0])
+    cls, n, crowd_token, crowd_doc = _unpack(cls, np.int64), _unpack(n, np.int64), _unpack(crowd_token, np.uint64), _unpack(crowd_doc, np.uint32)
+    token, doc, freq = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    crowded: dict[tuple[int, int], int] = {}
+    for bucket, data in group.loc[group["kind"] == 2, ["key", "data"]].itertuples(index=False):
+        low, d, f = _parted(data)
+        low, d, f = _unpack(low, np.uint32), _unpack(d, np.uint32), _unpack(f, np.uint32)
+        one = d != _CROWDED
+        token.append(low[one].astype(np.int64) + (bucket << 32))
+        doc.append(d[one])
+        freq.append(f[one])
+        crowded |= {(bucket, x): y for x, y in zip(low[~one].tolist(), f[~one].tolist(), strict=True)}
+    if len(crowd_token):
+        bucket = ((crowd_token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        low = (crowd_token & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        token.append(low + (bucket << 32))
+        doc.append(crowd_doc)
+        freq.append(np.array([crowded[x] for x in zip(bucket.tolist(), low.tolist(), strict=True)], np.uint32))
+    token, doc, freq = np.concatenate(token), np.concatenate(doc).astype(np.int64), np.concatenate(freq)
+    by = np.lexsort((token, freq, doc))
+    token, doc = token[by], doc[by]
+    m = np.bincount(doc, minlength=len(cls))
+    alone = n - m
+    place = alone[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m)
+    ok = place < (n - (n * num + den - 1) // den + 1)[doc]
+    d = doc[ok]
+    return pd.DataFrame({"token": token[ok], "cls": cls[d], "n": n[d], "pos": place[ok], "alone": alone[d] / n[d]})
+
+
+def _postings(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(token, cls, n, pos, alone): prefix shingles of two classes or more, by exact frequency."""
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        return _choose(group, num, den, buckets)
+
+    answers = _ask(docs, k, buckets).groupBy("key").applyInPandas(_answer, _SENT)
+    return _keep(docs, k).unionByName(answers).groupBy("block").applyInPandas(choose, "token long, cls long, n long, pos long, alone double").dropDuplicates(["token", "cls"])
 
 
 def _may_reach(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,10 +354,9 @@ def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     classes = written(_classes(docs, k), "classes")
-    prefixes = classes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0]
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reps = written(classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "reps")
-    rank = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
-    postings = written(_postings(docs, k, num, den, rank, max(4, int(prefixes) // 400_000)), "postings")
+    postings = written(_postings(docs, k, num, den, max(4, int(total) // 2_000_000)), "postings")
 
     def near(x: str, y: str):
         """The length filter, and the positional filter on a common shingle."""
@@ -281,26 +364,34 @@ def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc
         bound = F.least(n - i, m - j) + F.least(i, j)
         return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * bound >= num * (n + m))
 
-    own = postings.withColumnsRenamed({"n": "n_x", "pos": "pos_x", "hub_n": "n_y", "hub_pos": "pos_y"})
-    salted = postings.where("hub_n = 0")
-    hubs = salted.groupBy("token").agg(F.min("cls").alias("least"))
-    first = own.where("n_y > 0 and cls <> hub").where(near("_x", "_y")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    first = first.union(salted.join(hubs, "token").where("cls <> least").select("cls", "least")).distinct()
-    first = written(_may_reach(first, reps, num, den), "pairs")
-    links = written(_verified(docs, reps, first, k, num, den), "links")
-    labels = connected(links)
-
-    marked = postings.select("token", "cls", "n", "pos").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("token", "cls", "n", "pos", "label")
-    marked = written(marked, "marked")
-    apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_ = marked.join(apart, "token")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "label")]) for s in "xy")
-    rest = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y"))
-    rest = rest.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = written(_may_reach(rest, reps, num, den), "pairs")
-    more = written(_verified(docs, reps, rest, k, num, den), "links")
-    if not more.isEmpty():
-        labels = connected(links.union(more))
+    links, tried = None, None
+    labels = reps.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
+    for step in range(ROUNDS + 1):
+        marked = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        open_ = written(marked.select("token", "cls", "n", "pos", "alone", "label").join(apart, "token"), "open")
+        x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "label")])
+        if step < ROUNDS:  # a star around the most central class, another one each round
+            order = F.struct("alone", F.xxhash64("cls", F.lit(step)).alias("h"), F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("label").alias("label_y"))
+            hubs = open_.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
+            pairs = x.join(hubs, "token").where((F.col("label_x") != F.col("label_y")) & near("_x", "_y"))
+        else:
+            y = open_.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "label")])
+            pairs = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y"))
+        pairs = pairs.select(F.greatest("cls_x", "cls_y").alias("a"), F.least("cls_x", "cls_y").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            if open_.isEmpty():
+                break
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        likely = written(_may_reach(pairs, reps, num, den), "likely")
+        found = written(_verified(docs, reps, likely, k, num, den), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = connected(links)
     labelled = reps.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "label").select("cls", "component_id")
