@@ -274,10 +274,10 @@ def m1_match_fold(spark, sf_dir):
 
 
 def packet_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message numbers in packets of eight on two feeds, an eighth of the packets lost on each."""
+    """Message numbers in packets of eight on two feeds, a fifth of the packets lost on each and some on both."""
     seqs = derived_feed(spark, sf_dir).select((F.col("seq") + 1).alias("msg_seq"), F.expr("seq div 8").alias("n"))
     both = seqs.withColumn("feed", F.explode(F.array(F.lit(0), F.lit(1))))
-    return transport.lose(both, 12).select(F.lit("S1").alias("session"), (F.col("n") + 3 * F.col("feed")).alias("arrival"), "feed", "msg_seq", "n")
+    return transport.lose(both, 22).select(F.lit("S1").alias("session"), (F.col("n") + 3 * F.col("feed")).alias("arrival"), "feed", "msg_seq", "n")
 
 
 @query
@@ -300,7 +300,7 @@ def t8_session_complete(spark, sf_dir):
 @query
 def t10_lost_packets(spark, sf_dir):
     packets = derived_feed(spark, sf_dir).select(F.expr("seq div 8").alias("n")).distinct().withColumn("feed", F.explode(F.array(F.lit(0), F.lit(1))))
-    return transport.lose(packets, 12)
+    return transport.lose(packets, 22)
 
 
 @query
@@ -316,7 +316,7 @@ def wire_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = with_payload(derived_feed(spark, sf_dir)).select("seq", "payload")
     packed = cut(transport.packetize(msgs, "S1", 1200, chunk=256), "packets").withColumn("n", F.expr("first_seq div 16"))
     both = packed.withColumn("feed", F.explode(F.array(F.lit(0), F.lit(1))))
-    return transport.lose(both, 12).select(F.lit("S1").alias("stream"), (2 * (F.col("first_seq") + 40 * F.col("feed")) + F.col("feed")).alias("arrival"), "feed", "first_seq", "count", "packet")
+    return transport.lose(both, 22).select(F.lit("S1").alias("stream"), (2 * (F.col("first_seq") + 40 * F.col("feed")) + F.col("feed")).alias("arrival"), "feed", "first_seq", "count", "packet")
 
 
 @query

@@ -49,7 +49,7 @@ audit AS (SELECT o.seq, o.type, o.locate, o.ref, CASE WHEN 4 * o.seq < n OR 10 *
     WHEN EXISTS (SELECT 1 FROM orders a WHERE a.locate = o.locate AND a.side = o.side AND a.price = o.price AND a.birth_seq < o.birth_seq AND (a.death_seq IS NULL OR a.death_seq >= o.seq)) THEN 'behind' ELSE 'front' END AS verdict
   FROM ops o JOIN states s ON s.seq = o.seq, size_ WHERE o.type IN ('E','C')),
 events_seq AS (SELECT event_id AS seq FROM events),
-msgs AS (SELECT seq + 1 AS msg_seq, seq // 8 AS n, f.feed, seq // 8 + 3 * f.feed AS arrival FROM events_seq, (VALUES (0), (1)) f(feed) WHERE (seq // 8 * 31 + f.feed * 17) % 100 >= 12),
+msgs AS (SELECT seq + 1 AS msg_seq, seq // 8 AS n, f.feed, seq // 8 + 3 * f.feed AS arrival FROM events_seq, (VALUES (0), (1)) f(feed) WHERE (seq // 8 * 31 + f.feed * 17) % 100 >= 22),
 seen AS (SELECT DISTINCT msg_seq FROM msgs),
 holes AS (SELECT msg_seq + 1 AS first_missing, nxt - 1 AS last_missing FROM (SELECT msg_seq, lead(msg_seq) OVER (ORDER BY msg_seq) AS nxt FROM seen) WHERE nxt > msg_seq + 1)
 """
