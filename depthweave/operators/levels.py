@@ -83,14 +83,14 @@ def checkpoints(life: Lifecycle, feed: DataFrame, every: int) -> DataFrame:
     A last message that is also a multiple appears under both names.
     """
     stats = feed.agg(F.max("seq").alias("last"), F.min("seq").alias("first"), F.count("*").alias("n")).first()
-    spark = feed.sparkSession
-    n = stats["n"] or 0
-    # A feed's seq is dense from its first; message number = seq - first + 1.
-    first = stats["first"] or 0
-    marks = spark.range(1, n // every + 1).select(F.lit("checkpoint").alias("kind"), (F.col("id") * every).alias("messages"), (F.col("id") * every + first - 1).alias("cp"))
-    end = spark.createDataFrame([("end", n, stats["last"] or 0)], "kind string, messages long, cp long")
-    points = marks.unionByName(end)
-    alive = life.orders.select("locate", "ref", "side", "price", "shares", "birth_seq", "death_seq").join(F.broadcast(points), (F.col("birth_seq") <= F.col("cp")) & (F.col("death_seq").isNull() | (F.col("death_seq") > F.col("cp"))))
+    n, first, last = stats["n"] or 0, stats["first"] or 0, stats["last"] or 0
+    # A feed's seq is dense from its first, so the k-th checkpoint is seq first + k * every - 1,
+    # and an order lives through a range of k: no join with the checkpoints is needed.
+    own = life.orders.select("locate", "ref", "side", "price", "shares", "birth_seq", "death_seq")
+    lo = F.expr(f"(birth_seq - {first} + {every}) div {every}")
+    hi = F.coalesce(F.expr(f"(death_seq - {first}) div {every}"), F.lit(n // every))
+    through = own.where(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi))).select(*own.columns, F.lit("checkpoint").alias("kind"), (F.col("k") * every).alias("messages"), (F.col("k") * every + first - 1).alias("cp"))
+    alive = through.unionByName(own.where("death_seq is null").select("*", F.lit("end").alias("kind"), F.lit(n).cast("long").alias("messages"), F.lit(last).cast("long").alias("cp")))
     taken = life.ops.where("applied > 0").select("locate", "ref", "birth_seq", F.col("seq").alias("op_seq"), "applied")
     j = alive.join(taken, ["locate", "ref", "birth_seq"], "left").withColumn("used", F.when(F.col("op_seq") <= F.col("cp"), F.col("applied")).otherwise(0))
     return j.groupBy("kind", "messages", "cp", "locate", "ref", "side", "price", "shares", "birth_seq").agg((F.col("shares") - F.sum("used")).alias("remaining")).drop("cp")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.wire import be, chars, to_be
 
 HEADER, END_OF_SESSION, MOST_REQUESTED, REQUEST_EVERY = 20, 0xFFFF, 0xFFFE, 256
+SPREAD = 4096  # message numbers a range of the overlap join
 
 
 def header(packet: str = "packet") -> dict:
@@ -136,7 +137,14 @@ def lookup(sent: DataFrame, requests: DataFrame, last: int | None = None) -> Dat
     """
     if last is not None:
         sent = sent.orderBy(F.desc("first_seq")).limit(last)
-    return sent.join(requests, (F.col("first_seq") < F.col("want") + F.col("want_count")) & (F.col("first_seq") + F.col("count") > F.col("want")))
+    def spread(df: DataFrame, first: str, count: str, name: str) -> DataFrame:
+        lo, hi = F.expr(f"{first} div {SPREAD}"), F.expr(f"({first} + greatest({count}, 1) - 1) div {SPREAD}")
+        return df.withColumn(name, lo).withColumn("_range", F.explode(F.sequence(lo, hi)))
+
+    both = spread(sent, "first_seq", "count", "_a").join(spread(requests, "want", "want_count", "_b"), "_range")
+    once = F.col("_range") == F.greatest("_a", "_b")  # a pair meets in each range both are in
+    overlap = (F.col("first_seq") < F.col("want") + F.col("want_count")) & (F.col("first_seq") + F.col("count") > F.col("want"))
+    return both.where(once & overlap).drop("_range", "_a", "_b")
 
 
 class Arbiter:
