@@ -82,7 +82,7 @@ def _ids_bytes(parts: list[pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def make_blocks(docs: DataFrame, limit: int = 8 << 20) -> DataFrame:
+def make_blocks(docs: DataFrame, limit: int = 3 << 20) -> DataFrame:
     """Blocks of about `limit` bytes of text: identifiers, token counts, word numbers, words."""
 
     def run(batches):
