@@ -61,13 +61,13 @@ def class_of(s: np.ndarray) -> int:
     return int(parts.sum(dtype=np.uint64).astype(np.int64))
 
 
-def range_counts(sets: list[np.ndarray]) -> list[bytes]:
-    """For the suffix filter: members in each of RANGES equal ranges of the hash (16 bits each)."""
+def range_counts(sets: list[np.ndarray]) -> pa.Array:
+    """For the suffix filter: members in each of RANGES equal ranges of the hash."""
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     every = np.concatenate([np.zeros(0, np.uint64), *sets])
     at = of * RANGES + (every >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
-    counts = np.bincount(at, minlength=len(sets) * RANGES).reshape(len(sets), RANGES)
-    return [x.tobytes() for x in np.minimum(counts, 65535).astype(np.uint16)]
+    counts = np.bincount(at, minlength=len(sets) * RANGES).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(counts))
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
@@ -76,9 +76,9 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in pieces(batches, "text"):
             sets = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(range_counts(sets), pa.binary())], names=["doc_id", "n", "cls", "ranges"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), range_counts(sets)], names=["doc_id", "n", "cls", "ranges"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, ranges binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, ranges array<int>")
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -254,8 +254,8 @@ def _may_reach(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int64) for c in ("r_a", "r_b"))
-            both = np.where((x == 65535) | (y == 65535), np.maximum(x, y) * 1000, np.minimum(x, y)).sum(axis=1)
+            x, y = (b.column(c).flatten().to_numpy().reshape(-1, RANGES) for c in ("r_a", "r_b"))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             ok = (den + num) * both >= num * (b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
@@ -370,14 +370,17 @@ def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc
         marked = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         open_ = written(marked.select("token", "cls", "n", "pos", "alone", "label").join(apart, "token"), "open")
-        x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "label")])
-        if step < ROUNDS:  # a star around the most central class, another one each round
-            order = F.struct("alone", F.xxhash64("cls", F.lit(step)).alias("h"), F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("label").alias("label_y"))
+        if step < ROUNDS:  # a star around the most central class, then around one of another group
+            x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "label")])
+            order = F.struct(F.xxhash64("label", F.lit(step)).alias("h") if step else F.lit(0).alias("h"), "alone", F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("label").alias("label_y"))
             hubs = open_.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
             pairs = x.join(hubs, "token").where((F.col("label_x") != F.col("label_y")) & near("_x", "_y"))
         else:
-            y = open_.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "label")])
-            pairs = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y"))
+            full = written(open_.join(reps.select("cls", "ranges"), "cls"), "open")
+            x, y = (full.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "label", "ranges")]) for s in "xy")
+            common = F.aggregate(F.zip_with("ranges_x", "ranges_y", lambda a, b: F.least(a, b)), F.lit(0), lambda sum_, v: sum_ + v)
+            reach = (num + den) * common >= num * (F.col("n_x") + F.col("n_y"))
+            pairs = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y") & reach)
         pairs = pairs.select(F.greatest("cls_x", "cls_y").alias("a"), F.least("cls_x", "cls_y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -387,7 +390,7 @@ def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc
                 break
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        likely = written(_may_reach(pairs, reps, num, den), "likely")
+        likely = written(_may_reach(pairs, reps, num, den), "likely") if step < ROUNDS else pairs
         found = written(_verified(docs, reps, likely, k, num, den), "links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
