@@ -36,7 +36,7 @@ from .words import blank_table, grams, mix, pieces, split
 _TABLE = blank_table(lower=True)
 BLOOM = 1 << 25
 RANGES = 128
-BLOCK = 8 << 20  # bytes of text
+BLOCK = 4 << 20  # bytes of text
 CROWD = 64
 _CROWDED = np.uint32(2**32 - 1)
 ROUNDS = 3
