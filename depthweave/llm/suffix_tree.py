@@ -1,8 +1,10 @@
 """Probabilistic suffix tree over words: variable-length contexts, divergence tests, scoring.
 
 Symbols are words (runs without ASCII white space, A-Z lower-cased) and an end. Contexts are the
-up to `depth` words before a symbol. A context is a candidate when its share of the training
-tokens is `least_share` or more (so there are at most 1 / least_share of each length), and a
+words before a symbol, up to `depth` of them; with no depth given, the bound grows with the log of
+the training tokens (one word more for a hundred times as many), and lengths end where none has a
+state. A context is a candidate when it occurs `least_count` times or more in the training
+texts, whatever their size (and has the share `least_share`, where one is asked for), and a
 state of the tree when its next-symbol distribution differs from its parent state's by `gain`
 nats a token or more, measured with each occurrence left out of its own estimate. A state's
 distribution is smoothed by an absolute discount toward its longest retained suffix, down to
@@ -11,8 +13,11 @@ is the sum over its tokens of log10 of their chance after the longest state that
 
 Counts go by packed exchange: texts are held as blocks of local word numbers; a block sends each
 bucket of the key space its distinct keys with local counts, the bucket adds equal keys and
-answers each block in order. Keys are 64-bit hashes of words and word sequences, spread evenly,
-and a block sends a key once, so no bucket is hot whatever the word frequencies.
+answers each block in order. Keys are 64-bit hashes of words and word sequences, and a block sends
+a key once. A context's next symbols go to the context's own bucket, which judges it and answers
+with its number of next symbols where it is a state; so no task holds the tree. A context with more
+than an eighth of a bucket's tokens is dealt over several buckets, and its sums are added by the
+driver and sent to all tasks; there are at most eight such contexts a bucket and length.
 
 A null or wordless text has the end only. A null identifier counts as training. Repeated rows
 count and score each; an empty table gives an empty result.
@@ -24,6 +29,7 @@ import math
 import uuid
 import zlib
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,25 +44,24 @@ from .words import blank_table, mix, pieces, split
 
 _TABLE = blank_table(lower=True)
 END = np.uint64(0x9D39247E33776D41)
-_NONE = np.uint64(2**64 - 1)
+_LOW = np.uint64(0xFFFFFFFF)
 _ROW = "bucket int, block long, kind int, data binary"
 DISCOUNT = 0.75
 
 
 @dataclass
 class Tree:
-    """What all tasks know: bounded by 1 / least_share entries a length."""
+    """What all tasks know: sizes, limits, and the contexts too frequent for one bucket."""
 
-    depth: int
     buckets: int
+    least: float
+    gain: float
+    hot: int  # tokens of a context from which its next symbols are dealt over several buckets
     tokens: int = 0
     words: int = 0
     discount: float = 0.5
-    least: float = 0.0
-    keys: list = field(default_factory=list)  # per length, sorted candidate contexts
-    kept: list = field(default_factory=list)  # per length, which of them are states
-    total: list = field(default_factory=list)  # per length, their tokens
-    kinds: list = field(default_factory=list)  # per length, their distinct next symbols
+    keys: list = field(default_factory=list)  # per length, sorted hot contexts
+    kinds: list = field(default_factory=list)  # per length, their distinct next symbols, 0 if no state
 
 
 def held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
@@ -73,6 +78,37 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def joined(parts: list[np.ndarray]) -> bytes:
+    packed = [pack(np.ascontiguousarray(x)) for x in parts]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in packed)
+
+
+def parted(data: bytes, kinds) -> list[np.ndarray]:
+    """The arrays of joined(), as far as there are some."""
+    out, at = [], 0
+    for kind in kinds:
+        if at < len(data):
+            n = int.from_bytes(data[at : at + 4], "little")
+            out.append(unpack(data[at + 4 : at + 4 + n], kind))
+            at += 4 + n
+    return out
+
+
+def longer(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one word more."""
+    return mix(mix(ctx) + low * np.uint64(0x9E3779B97F4A7C15))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In order of the distinct values: where one stands, and the number of each entry's value."""
+    at = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[at[1:]] != x[at[:-1]]
+    which = np.empty(len(x), np.int64)
+    which[at] = np.cumsum(new) - 1
+    return at[new], which
+
+
 def _ids_bytes(parts: list[pa.Array]) -> bytes:
     """Identifiers of any type, nulls included, as bytes."""
     sink = pa.BufferOutputStream()
@@ -120,6 +156,22 @@ def _gather(batches, limit):
         yield held
 
 
+class Events(NamedTuple):
+    """Tokens after contexts of one length, and the distinct pairs of context and token as sent."""
+
+    at: np.ndarray  # the tokens
+    total: np.ndarray  # how often their contexts occur
+    seq: np.ndarray  # hashes of context and token
+    first: np.ndarray  # of each distinct pair, one of the tokens
+    which: np.ndarray  # of each token, its pair
+    order: np.ndarray  # the pairs as sent, by bucket and context; so are the following
+    ctx: np.ndarray
+    low: np.ndarray
+    hot: np.ndarray
+    where: np.ndarray
+    new: np.ndarray  # does a context begin here?
+
+
 class Block:
     """One block with the answers it has had, and what follows from them."""
 
@@ -135,75 +187,86 @@ class Block:
     def word_request(self) -> tuple[np.ndarray, np.ndarray]:
         return self.keys, np.bincount(self.tok[self.train], minlength=len(self.keys))
 
-    def _dealt(self, keys) -> tuple[np.ndarray, np.ndarray]:
-        """Each key's bucket, and the order in which keys are sent and answered."""
-        where = ((mix(keys) >> np.uint64(20)) % np.uint64(self.tree.buckets)).astype(np.int64)
-        return where, np.lexsort((keys, where))
+    def _bucket(self, keys) -> np.ndarray:
+        return ((mix(keys) >> np.uint64(20)) % np.uint64(self.tree.buckets)).astype(np.int64)
 
-    def send(self, kind: int, keys, count, q=None):
+    def send_words(self):
         """Rows of (bucket, kind, data)."""
-        where, order = self._dealt(keys)
-        cut = np.flatnonzero(np.diff(where[order])) + 1
-        for at in np.split(order, cut) if len(order) else []:
-            parts = [pack(keys[at]), pack(count[at].astype(np.uint32))]
-            if q is not None:
-                parts.append(pack(q[at].astype(np.float32)))
-            yield int(where[at[0]]), kind, b"".join(len(x).to_bytes(4, "little") + x for x in parts)
-
-    def answered(self, kind: int, keys) -> np.ndarray:
-        _, order = self._dealt(keys)
-        got = [unpack(d, np.uint32) for _, d in sorted(self.answers.get(kind, []))]
-        out = np.zeros(len(keys), np.int64)
-        out[order] = np.concatenate(got) if got else []
-        return out
+        keys, count = self.word_request()
+        where = self._bucket(keys)
+        order = np.lexsort((keys, where))
+        for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+            yield int(where[at[0]]), 0, joined([keys[at], count[at].astype(np.uint32)])
+
+    def answered(self, kind: int) -> list[list[np.ndarray]]:
+        """The answers of a round by bucket, each a list of arrays."""
+        return [parted(d, (np.uint32, np.uint32)) for _, d in sorted(self.answers.get(kind, []))]
 
     def words(self) -> None:
         """Each token's word count and its chance without context."""
-        count = self.answered(0, self.keys)
+        got = self.answered(0)
+        count = np.zeros(len(self.keys), np.int64)
+        count[np.lexsort((self.keys, self._bucket(self.keys)))] = np.concatenate([x[0] for x in got]) if got else []
         t = self.tree
         chance = np.where(count > 0, (count - t.discount) / max(t.tokens, 1), max(t.discount * t.words, 0.5) / max(t.tokens, 1))
         self.count, self.chance = count[self.tok], chance[self.tok]
+        self.seen, self.seq = self.count, self.keys[self.tok]  # of the words that end at a token: how often, and their hash
+        self.low = self.seq & _LOW
 
-    def events(self, d: int):
-        """Where a context of length d fits: the tokens, the contexts' numbers, the distinct keys.
+    def events(self, d: int) -> Events:
+        """Where a candidate context of length d stands before a token.
 
-        An event's key has its context's number above and 32 bits of the next word's hash below;
-        where it is frequent, it is a candidate context of length d + 1 for the token after it.
+        Contexts tell next words apart by 32 bits of their hashes.
         """
-        keys = self.tree.keys[d - 1]
-        h = self.keys[self.tok]
-        at = np.flatnonzero(self.place >= d) if len(keys) else np.zeros(0, np.int64)
-        own = h[at - 1] if d == 1 else self.event[at - 1]
-        ctx = np.searchsorted(keys, own)
-        ok = np.flatnonzero(keys[np.minimum(ctx, len(keys) - 1)] == own) if len(keys) else at
-        at, ctx = at[ok], ctx[ok]
-        self.event = np.full(len(h), _NONE)
-        self.event[at] = (ctx.astype(np.uint64) << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
-        key, first, which = np.unique(self.event[at], return_index=True, return_inverse=True)
-        return at, ctx, key, first, which
-
-    def extend(self, d: int, events) -> None:
+        at = np.flatnonzero(self.place >= d)
+        at = at[self.seen[at - 1] >= self.tree.least]
+        total, seq = self.seen[at - 1], longer(self.seq[at - 1], self.low[at])
+        first, which = distinct(seq)
+        ctx, low, often = self.seq[at[first] - 1], self.low[at[first]], total[first]
+        share = low % (-(-often // self.tree.hot)).astype(np.uint64)
+        where = self._bucket(ctx + share * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort((where.astype(np.uint64) << np.uint64(40)) | (ctx >> np.uint64(24)), kind="stable")
+        ctx, where = ctx[order], where[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ctx[1:] != ctx[:-1]) | (where[1:] != where[:-1])
+        return Events(at, total, seq, first, which, order, ctx, low[order], often[order] > self.tree.hot, where, new)
+
+    def extend(self, d: int, e: Events) -> None:
         """Fold the states of length d into each token's chance."""
-        at, ctx, key, _, which = events
-        t = self.tree
-        n = self.answered(d, key)[which]
-        use = np.flatnonzero(t.kept[d - 1][ctx]) if len(ctx) else np.zeros(0, np.int64)
-        i, c = at[use], ctx[use]
-        total = t.total[d - 1][c]
-        self.chance[i] = (np.maximum(n[use] - DISCOUNT, 0) + DISCOUNT * t.kinds[d - 1][c] * self.chance[i]) / total
+        got, size = self.answered(d), len(e.order)
+        n, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        if size:
+            n[e.order] = np.concatenate([x[0] for x in got])
+            own = np.concatenate([x[1] for x in got]).astype(np.int64)[np.cumsum(e.new) - 1]
+            keys = self.tree.keys[d - 1]
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, e.ctx), len(keys) - 1)
+                own = np.where(e.hot, np.where(keys[place] == e.ctx, self.tree.kinds[d - 1][place], 0), own)
+            kinds[e.order] = own
+        n, kinds = n[e.which], kinds[e.which]
+        use = np.flatnonzero(kinds)
+        i = e.at[use]
+        self.chance[i] = (np.maximum(n[use] - DISCOUNT, 0) + DISCOUNT * kinds[use] * self.chance[i]) / e.total[use]
+        seen, seq = np.zeros(len(self.tok), np.int64), np.zeros(len(self.tok), np.uint64)
+        seen[e.at], seq[e.at] = n, e.seq
+        self.seen, self.seq = seen, seq
 
     def request(self, d: int):
         """The rows that ask for the counts of contexts of length d with their next symbols."""
         self.words()
         for k in range(1, d):
             self.extend(k, self.events(k))
-        at, _, key, first, which = self.events(d)
-        count = np.bincount(which[self.train[at]], minlength=len(key)) if len(key) else np.zeros(0, np.int64)
-        yield from self.send(d, key, count, self.chance[at][first])
+        e = self.events(d)
+        count = np.bincount(e.which[self.train[e.at]], minlength=len(e.order))[e.order] if len(e.order) else e.order
+        chance = self.chance[e.at][e.first][e.order].astype(np.float32)
+        for at in np.split(np.arange(len(e.order)), np.flatnonzero(np.diff(e.where)) + 1) if len(e.order) else []:
+            head = at[e.new[at]]
+            runs = np.diff(np.append(head, at[-1] + 1))
+            yield int(e.where[at[0]]), d, joined([e.ctx[head], runs.astype(np.uint32), e.hot[head].astype(np.uint8), e.low[at].astype(np.uint32), count[at].astype(np.uint32), chance[at]])
 
     def scores(self) -> pd.DataFrame:
         self.words()
-        for d in range(1, self.tree.depth + 1):
+        for d in range(1, len(self.tree.keys) + 1):
             self.extend(d, self.events(d))
         ends = np.cumsum(self.lens)
         t = self.tree
@@ -217,40 +280,57 @@ class Block:
         return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "held_out": self.out, "n_tokens": self.lens, "n_known": per(self.count > 0), "train_tokens": t.tokens, "base_score": [x.sum() for x in np.split(base, ends[:-1])], "score": [x.sum() for x in np.split(np.log10(self.chance), ends[:-1])]})
 
 
-def _sum_bucket(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Add up equal keys of a bucket; answers to its blocks, and its part of the statistics."""
-    parts = []
-    for data in group["data"]:
-        fields, at = [], 0
-        for part in (np.uint64, np.uint32, np.float32):
-            if at < len(data):
-                n = int.from_bytes(data[at : at + 4], "little")
-                fields.append(unpack(data[at + 4 : at + 4 + n], part))
-                at += 4 + n
-        parts.append(fields)
-    key, count, *more_fields = (np.concatenate(x) for x in zip(*parts, strict=True))
-    own, first, which = np.unique(key, return_index=True, return_inverse=True)
+def _judged(sums: np.ndarray, gain: float) -> np.ndarray:
+    """The divergence test of contexts by their sums: the next symbols of the states, else 0."""
+    n, kinds, ones, more, logs = sums
+    safe = np.maximum(n, 1)
+    left_out = logs - more * np.log(safe) + ones * np.log(np.maximum(DISCOUNT * kinds, 1e-9) / safe)
+    return np.where((n > 0) & (left_out >= gain * n), kinds, 0).astype(np.int64)
+
+
+def _sum_words(rows) -> tuple[list[bytes], list]:
+    parts = [parted(d, (np.uint64, np.uint32)) for d in rows]
+    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, which = np.unique(key, return_inverse=True)
     n = np.bincount(which, weights=count).astype(np.int64)
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
-    answers = [pack(x.astype(np.uint32)) for x in np.split(n[which], cut)]
-    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
+    sums = np.array([(n > 0).sum(), (n == 1).sum(), (n == 2).sum()], np.int64)
+    return [joined([x.astype(np.uint32)]) for x in np.split(n[which], cut)], [(-1, sums.tobytes())]
+
+
+def _sum_contexts(rows, tree: Tree) -> tuple[list[bytes], list]:
+    parts = [parted(d, (np.uint64, np.uint32, np.uint8, np.uint32, np.uint32, np.float32)) for d in rows]
+    keys, runs, hot, low, count, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
+    one, place = distinct(keys)
+    own = keys[one]
+    ctx = np.repeat(place, runs)
+    first, which = distinct(longer(own[ctx], low.astype(np.uint64)))
+    n = np.bincount(which, weights=count).astype(np.int64)
     live = n > 0
-    often = live & (n >= least)
-    sums = np.array([live.sum(), (n == 1).sum(), (n == 2).sum()], np.int64)
-    stats = [(-1, sums.tobytes()), (-2, own[often].tobytes())]
-    if kind:
-        c, m, p = own[live] >> np.uint64(32), n[live], more_fields[0][first][live].astype(np.float64)
-        seen, at = np.unique(c, return_inverse=True)
-        more = m >= 2
-        logs = np.where(more, m * np.log(np.maximum(m - 1 - DISCOUNT, 1e-9) / p), 0.0)
-        cols = [np.bincount(at, weights=w, minlength=len(seen)) for w in (m, np.ones(len(m)), ~more, np.where(more, m, 0), logs)]
-        stats.append((-3, np.stack([seen.astype(np.float64), *cols]).tobytes()))
+    c, m, p = ctx[first][live], n[live], chance[first][live].astype(np.float64)
+    more = m >= 2
+    logs = np.where(more, m * np.log(np.maximum(m - 1 - DISCOUNT, 1e-9) / p), 0.0)
+    sums = np.stack([np.bincount(c, weights=w, minlength=len(own)) for w in (m, np.ones(len(m)), ~more, np.where(more, m, 0), logs)])
+    shared = np.zeros(len(own), bool)
+    shared[place[hot > 0]] = True
+    kinds = np.where(shared, 0, _judged(sums, tree.gain))
+    counts = np.split(n[which], np.cumsum([len(p[3]) for p in parts])[:-1])
+    states = np.split(kinds[place], np.cumsum([len(p[0]) for p in parts])[:-1])
+    stats = [(-1, np.array([(kinds > 0).sum()], np.int64).tobytes()), (-2, joined([own[shared], sums[:, shared].T.reshape(-1)]))]
+    return [joined([x.astype(np.uint32), y.astype(np.uint32)]) for x, y in zip(counts, states, strict=True)], stats
+
+
+def _sum_bucket(group: pd.DataFrame, tree: Tree) -> pd.DataFrame:
+    """Add up equal keys of a bucket; answers to its blocks, and its part of the statistics."""
+    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
+    answers, stats = _sum_contexts(group["data"], tree) if kind else _sum_words(group["data"])
     blocks = [*group["block"].tolist(), *(s[0] for s in stats)]
     return pd.DataFrame({"bucket": bucket, "block": blocks, "kind": kind, "data": [*answers, *(s[1] for s in stats)]})
 
 
-def _exchange(requests: DataFrame, least: float) -> DataFrame:
-    return written(requests.groupBy("bucket").applyInPandas(lambda g: _sum_bucket(g, least), _ROW), "answers")
+def _exchange(requests: DataFrame, tree: Tree) -> DataFrame:
+    limits = Tree(tree.buckets, tree.least, tree.gain, tree.hot)
+    return written(requests.groupBy("bucket").applyInPandas(lambda g: _sum_bucket(g, limits), _ROW), "answers")
 
 
 def _stored(blocks: DataFrame) -> DataFrame:
@@ -283,44 +363,43 @@ def _with_answers(blocks: DataFrame, answers: list[DataFrame], f, schema: str) -
 
 
 def _note_words(tree: Tree, answers: DataFrame) -> None:
-    sums, often = np.zeros(3, np.int64), []
-    for block, data in answers.where("block < 0").select("block", "data").toLocalIterator():
-        if block == -1:
-            sums += np.frombuffer(data, np.int64)
-        else:
-            often.append(np.frombuffer(data, np.uint64))
+    sums = np.zeros(3, np.int64)
+    for (data,) in answers.where("block = -1").select("data").toLocalIterator():
+        sums += np.frombuffer(data, np.int64)
     tree.words = int(sums[0])
     tree.discount = float(np.clip(sums[1] / max(1, sums[1] + 2 * sums[2]), 0.1, 0.95))
-    keys = np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)
-    tree.keys.append(keys[keys != END])
 
 
-def _note_contexts(tree: Tree, answers: DataFrame, gain: float) -> None:
-    """The divergence test of each context, from its sums over all buckets."""
-    size = len(tree.keys[-1])
-    sums, often = np.zeros((5, size)), []
-    for block, data in answers.where("block < -1").select("block", "data").toLocalIterator():
-        if block == -2:
-            often.append(np.frombuffer(data, np.uint64))
+def _note_contexts(tree: Tree, answers: DataFrame) -> int:
+    """The states of this length; the sums of hot contexts over all buckets are judged here."""
+    states, keys, sums = 0, [np.zeros(0, np.uint64)], [np.zeros((0, 5))]
+    for block, data in answers.where("block < 0").select("block", "data").toLocalIterator():
+        if block == -1:
+            states += int(np.frombuffer(data, np.int64)[0])
         else:
-            part = np.frombuffer(data, np.float64).reshape(6, -1)
-            sums[:, part[0].astype(np.int64)] += part[1:]
-    n, kinds, ones, more, logs = sums
-    safe = np.maximum(n, 1)
-    left_out = logs - more * np.log(safe) + ones * np.log(np.maximum(DISCOUNT * kinds, 1e-9) / safe)
-    tree.kept.append((n > 0) & (left_out >= gain * n))
-    tree.total.append(safe)
-    tree.kinds.append(kinds)
-    tree.keys.append(np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64))
+            own, part = parted(data, (np.uint64, np.float64))
+            keys.append(own)
+            sums.append(part.reshape(-1, 5))
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    whole = np.zeros((len(own), 5))
+    np.add.at(whole, at, np.concatenate(sums))
+    tree.keys.append(own)
+    tree.kinds.append(_judged(whole.T, tree.gain))
+    return states + int((tree.kinds[-1] > 0).sum())
+
+
+def longest(tokens: int) -> int:
+    """The depth of a tree over so many training tokens: half their digits, 2 at least."""
+    return max(2, len(str(tokens)) // 2)
 
 
-def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 2, least_share: float = 1e-4, gain: float = 0.002, bucket_tokens: int = 2_000_000) -> DataFrame:
+def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int | None = 2, least_share: float = 0.0, gain: float = 0.002, bucket_tokens: int = 2_000_000, least_count: int = 4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _stored(make_blocks(docs))
     n, train = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
-    tree = Tree(depth=depth, buckets=max(4, math.ceil(n / bucket_tokens)), tokens=train, least=max(4.0, least_share * train))
+    tree = Tree(buckets=max(4, math.ceil(n / bucket_tokens)), least=max(float(least_count), least_share * train), gain=gain, hot=max(1, bucket_tokens // 8), tokens=train)
     schema = ", ".join(f"{c} {t}" for c, t in (("doc_id", kind), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")))
 
     def ask_words(batches):
@@ -328,26 +407,27 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth
             for i in range(len(b)):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 block = Block(row, {}, tree)
-                rows = list(block.send(0, *block.word_request()))
+                rows = list(block.send_words())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "kind", "data"])
 
-    answers = [_exchange(blocks.mapInArrow(ask_words, _ROW), tree.least)]
+    answers = [_exchange(blocks.mapInArrow(ask_words, _ROW), tree)]
     _note_words(tree, answers[0])
-    for d in range(1, depth + 1):
+    for d in range(1, (longest(train) if depth is None else depth) + 1):
         shared = docs.sparkSession.sparkContext.broadcast(tree)
 
         def ask(row, got, d=d, shared=shared):
             rows = list(Block(row, got, shared.value).request(d))
             return pd.DataFrame({"bucket": [r[0] for r in rows], "block": row["block"], "kind": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
-        answers.append(_exchange(_with_answers(blocks, answers, ask, _ROW), tree.least))
-        _note_contexts(tree, answers[-1], gain)
+        answers.append(_exchange(_with_answers(blocks, answers, ask, _ROW), tree))
+        if not _note_contexts(tree, answers[-1]) and depth is None:
+            break
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     return _with_answers(blocks, answers, lambda row, got: Block(row, got, shared.value).scores(), schema)
 
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), depth=None)
 
 
 QUERIES = {"op1_suffix_tree_scores": op1_suffix_tree_scores}

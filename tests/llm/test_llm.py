@@ -128,6 +128,20 @@ def test_suffix_tree_equals_counting(spark):
     assert got == sorted(want)
 
 
+def test_suffix_tree_depth_and_contexts_follow_the_data(spark):
+    """A rare context of three words is a state, however many other words there are."""
+    rare = [("p", "q", "r", "s"), ("p", "q", "t", "u"), ("v", "q", "r", "u"), ("v", "q", "t", "s"), ("a", "b", "c"), ("d", "b", "e")]
+    r = random.Random(6)
+    rows = [(i, " ".join(rare[i % 6] if i < 60 else r.choices([f"w{k}" for k in range(5000)], k=750))) for i in range(240)]
+    out = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=None, bucket_tokens=20_000)
+    assert [suffix_tree.longest(n) for n in (10**5, 10**7, 10**9)] == [3, 4, 5]
+    got = {x.doc_id: x.score for x in out.collect()}
+    assert 1e-4 * sum(len(t.split()) + 1 for d, t in rows if not suffix_tree.held_out(d)) > 10
+    want = [pst_scores(rows, k, 0, 0.002)[2] for k in (2, 3)]
+    assert abs(want[0][0] - want[1][0]) > 0.01
+    assert all(abs(got[i] - want[1][i]) < 1e-3 for i in range(240))
+
+
 def test_suffix_tree_helps_held_out_texts_and_takes_no_rows(docs, empty):
     out = suffix_tree.score_texts(docs).where("held_out").toPandas()
     assert out.score.sum() > out.base_score.sum()
