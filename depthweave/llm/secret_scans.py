@@ -4,7 +4,8 @@ Patterns find candidates in every text; each candidate value is hashed, and the
 counted over the corpus by distinct owners and repositories. A value held by `example_owners`
 owners or more is a widely copied example; another one with enough entropy is live-looking; the
 rest is weak. The three base kinds are always reported. The further kinds (provider-prefixed
-keys, web tokens, private-key headers) are reported unless their value is an example.
+keys, web tokens, private keys) are reported unless their value is an example. A private key spans
+header, body and footer, or as many key lines as there are; its value is the body without breaks.
 
 Null texts count as empty; null owners or repositories count as one owner or repository; equal
 rows get equal results, a row each; an empty table gives an empty result.
@@ -35,7 +36,7 @@ BASE = (
 MORE = (
     ("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,})", 0, 16),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 16),
+    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}={1,2})?)", 0, 16),
 )
 _KINDS = [(kind, re.compile(pattern if kind != "hex" else "[0-9a-f]{32,}"), group, least, i < len(BASE)) for i, (kind, pattern, group, least) in enumerate((*BASE, *MORE))]
 ORDER = {k[0]: i for i, k in enumerate(_KINDS)}
@@ -49,6 +50,14 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+_EDGES = re.compile(r"-----(?:BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----|\\[nr]|[^A-Za-z0-9+/=]")
+
+
+def owned(kind: str, value: str) -> str:
+    """What owners are counted by: of a private key its body, if it has one."""
+    return _EDGES.sub("", value) or value if kind == "pem" else value
+
+
 def candidates(text: str) -> list[dict]:
     """All candidate spans of a text by start, then kind in the listed order."""
     out = []
@@ -56,6 +65,7 @@ def candidates(text: str) -> list[dict]:
         for m in pattern.finditer(text):
             value = m[group]
             if len(value) >= least:
+                value = owned(kind, value)
                 out.append({"kind": kind, "start": m.start(), "end": m.end(), "at": m.start(group), "h": int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True), "bits": entropy(value), "base": base})
     return sorted(out, key=lambda x: (x["start"], ORDER[x["kind"]]))
 

@@ -270,6 +270,21 @@ def test_secret_spans_and_ownership(spark, empty):
     assert secret_scans.find_secrets(empty.withColumnRenamed("source", "owner").withColumnRenamed("lang", "repo")).count() == 0
 
 
+def test_private_keys_are_owned_by_their_bodies_and_cut_whole(spark):
+    r = random.Random(4)
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = ["\n".join("".join(r.choices("ABCdef0123+/xyz", k=64)) for _ in range(3)) + "\nQ8w=" for _ in range(6)]
+    keys = [f"{head}\n{b}\n{foot}" for b in body[:3]] + [f"{head}\\n{body[3]}\\n{foot}".replace("\n", "\\n"), f"{head}\n{body[4]}"]
+    rows = [(i, f"a {k}\nend of it", f"o{i}", "r") for i, k in enumerate(keys)] + [(10 + i, f"b {head}\n{body[5]}\n{foot} c", f"p{i}", "r") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    by = {x.doc_id: [f for f in x.findings if f.kind == "pem"] for x in secret_scans.find_secrets(df).collect()}
+    for i, t, *_ in rows[:5]:
+        assert [(f.verdict, f.owners) for f in by[i]] == [("live", 1)]
+        assert secret_scans.redact(t, [(f["at"], f.end) for f in by[i]]) == "a [REDACTED]\nend of it"
+    assert not any(by[10 + i] for i in range(3))  # one key that three owners hold
+    assert [t["end"] for t in secret_scans.candidates(f"{head} is how a key begins")] == [len(head)]
+
+
 def plain_ids(texts):
     from tokenizers import Tokenizer
 
