@@ -2,12 +2,13 @@
 
 A page is a stream of structural tags (name and class words) and text slots. Adjacent equal
 groups fold into repeated groups, so a page becomes a short expression. The expressions of a
-host are aligned two at a time: equal parts stay, unequal ones become optional groups, and texts
-at one slot become a constant or a variable slot with counts. Alignment is associative enough to
-go in rounds over groups of bounded size, so no task takes all pages of a hot host. The wrapper
-of a host then says which slots are content: those under an article or main region, or else
-under the container with most variable text; never those under menus, headers, footers,
-sidebars, notices, adverts, forms or comments.
+host are aligned two at a time: equal parts stay, unequal ones become optional groups. Alignment
+is associative enough to go in rounds over groups of bounded size, so no task takes all pages of a
+hot host. The expression lists the slots of a host; those under menus, headers, footers, sidebars,
+notices, adverts, forms or comments are never content. A text is constant when it stands in one slot
+on all different pages of its host that have the slot, three at least. The text of a page is what
+varies in its article region, else in its main region, else in all its slots; a region in which
+nothing varies is kept whole.
 
 A null page is empty; a null or odd url gives the host ''. Repeated pages get a row each; an
 empty table gives an empty result; truncated and unclosed markup is read as far as it goes.
@@ -15,6 +16,7 @@ empty table gives an empty result; truncated and unclosed markup is read as far
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -89,7 +91,7 @@ def blocks(page: str):
 
 
 # An expression is a list of items: ["s", path] a slot, ["+", items] a repeated group and
-# ["?", items] an optional one. Statistics of slots are kept aside by path.
+# ["?", items] an optional one.
 
 
 def fold(items: list) -> list:
@@ -145,25 +147,17 @@ def align(a: list, b: list) -> list:
     return folded
 
 
-def induce(page: str) -> tuple[list, dict]:
-    """The expression of one page, and by path: pages, characters, and its text or None."""
-    items, stats = [], {}
-    for path, text in blocks(page):
-        key = "/".join(path)
-        items.append(["s", key])
-        n = stats.setdefault(key, [1, 0, text[:80]])
-        n[1] += len(text)
-        if n[2] != text[:80]:
-            n[2] = None
-    return fold(items), stats
+def induce(page: str) -> tuple[list]:
+    """The expression of one page."""
+    return (fold([["s", "/".join(path)] for path, _ in blocks(page)]),)
 
 
-def merge(x: tuple[list, dict], y: tuple[list, dict]) -> tuple[list, dict]:
-    stats = {k: list(v) for k, v in x[1].items()}
-    for k, v in y[1].items():
-        n = stats.setdefault(k, [0, 0, v[2]])
-        stats[k] = [n[0] + v[0], n[1] + v[1], n[2] if n[2] == v[2] else None]
-    return (x[0] if x[0] == y[0] else align(x[0], y[0])), stats
+def merge(x: tuple[list], y: tuple[list]) -> tuple[list]:
+    return (x[0] if x[0] == y[0] else align(x[0], y[0]),)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def furniture(path: list[str]) -> bool:
@@ -179,8 +173,8 @@ def furniture(path: list[str]) -> bool:
     return False
 
 
-def content_paths(wrapper: tuple[list, dict]) -> list[str]:
-    """The slots of the wrapper that are content."""
+def content_paths(wrapper: tuple[list]) -> list[str]:
+    """The slots of the wrapper that can be content."""
     slots: list[str] = []
 
     def visit(items) -> None:
@@ -191,24 +185,45 @@ def content_paths(wrapper: tuple[list, dict]) -> list[str]:
                 visit(own)
 
     visit(wrapper[0])
-    stats = wrapper[1]
-    free = [s for s in dict.fromkeys(slots) if not furniture(s.split("/"))]
+    return [s for s in dict.fromkeys(slots) if not furniture(s.split("/"))]
+
+
+def extract(page: str, paths: set[str], constant: set[int]) -> str:
+    """The text of a page by its host's content slots and (hashes of) constant texts."""
+    own = [(path, text) for path, text in blocks(page) if "/".join(path) in paths]
+    varies = lambda found: [x for x in found if _hash("/".join(x[0]) + "\0" + x[1]) not in constant]
     for region in ("article", "main"):
-        if own := [s for s in free if any(p.split(".")[0] == region for p in s.split("/"))]:
-            return own
-    fresh = [s for s in free if stats[s][0] < 3 or stats[s][2] is None]
-    mass: dict[str, int] = {}
-    for s in fresh:
-        box = s.rpartition("/")[0] if s.rpartition("/")[2].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else s
-        mass[box] = mass.get(box, 0) + stats[s][1]
-    if not mass:
-        return []
-    box = max(mass, key=lambda k: (mass[k], k))
-    return [s for s in fresh if s == box or s.startswith(box + "/") or not box]
+        if found := [x for x in own if any(step.split(".")[0] == region for step in x[0])]:
+            own = varies(found) or found
+            break
+    else:
+        own = varies(own)
+    return "\n\n".join(text for _, text in own)
 
 
-def extract(page: str, paths: set[str]) -> str:
-    return "\n\n".join(text for path, text in blocks(page) if "/".join(path) in paths)
+def constant_texts(pages: DataFrame, least: int = 3) -> DataFrame:
+    """(_host, _constant): hashes of the texts on all different pages of a host that have their slot.
+
+    A page adds each of its slots (with a null text) and each of its texts once; pages are told
+    apart by their hashes. A host has at most as many constant texts as all its slots have on one page.
+    """
+
+    def run(batches):
+        for b in pieces(batches, "_html"):
+            hosts, at, rows = b.column("_host"), [], []
+            for i, page in enumerate(b.column("_html").to_pylist()):
+                found = blocks(page)
+                one = _hash(page)
+                mine = {(_hash("/".join(p)), _hash("/".join(p) + "\0" + t), one) for p, t in found} | {(_hash("/".join(p)), None, one) for p, _ in found}
+                at += [i] * len(mine)
+                rows += mine
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["_host", "_slot", "_text", "_page"])
+
+    rows = pages.mapInArrow(run, "_host string, _slot long, _text long, _page long").distinct()
+    counts = written(rows.groupBy("_host", "_slot", "_text").agg(F.count("*").alias("n")).where(F.col("n") >= least), "slots")
+    slots = counts.where("_text is null").drop("_text")
+    return counts.where("_text is not null").join(slots, ["_host", "_slot", "n"]).groupBy("_host").agg(F.array_sort(F.collect_set("_text")).alias("_constant"))
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -247,27 +262,30 @@ def main_texts(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     keep = [c for c in df.columns if c != page]
     pages = df.withColumn("_host", F.coalesce(F.regexp_extract(F.lower(url), _HOST, 1), F.lit(""))).withColumn("_html", F.coalesce(page, F.lit("")))
     wrappers = infer_wrappers(pages.select("_host", "_html"))
+    constant = constant_texts(pages.select("_host", "_html"))
 
     def choose(batches):
         for b in batches:
             paths = [json.dumps(content_paths(tuple(json.loads(w)))) for w in b.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["_host", "_paths"])
 
-    chosen = wrappers.mapInArrow(choose, "_host string, _paths string")
+    chosen = wrappers.mapInArrow(choose, "_host string, _paths string").join(constant, "_host", "left")
+    chosen = chosen.withColumn("_constant", F.coalesce(F.concat_ws(",", F.col("_constant").cast("array<string>")), F.lit("")))
+    chosen = written(chosen, "chosen")  # its size is known then: no page moves while it is small
 
     def run(batches):
-        known: dict[str, set] = {}
+        known: dict[tuple, tuple] = {}
         for b in pieces(batches, "_html"):
             texts = []
-            for p, t in zip(b.column("_paths").to_pylist(), b.column("_html").to_pylist(), strict=True):
-                if p not in known:
+            for *p, t in zip(*(b.column(c).to_pylist() for c in ("_paths", "_constant", "_html")), strict=True):
+                if (key := tuple(p)) not in known:
                     known.clear() if len(known) > 1000 else None
-                    known[p] = set(json.loads(p))
-                texts.append(extract(t, known[p]))
+                    known[key] = set(json.loads(p[0])), {int(x) for x in p[1].split(",") if x}
+                texts.append(extract(t, *known[key]))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=[*keep, "text", "n_chars"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-    return pages.select(*keep, "_host", "_html").join(chosen, "_host").select(*keep, "_html", "_paths").mapInArrow(run, f"{types}, text string, n_chars long")
+    return pages.select(*keep, "_host", "_html").join(chosen, "_host").select(*keep, "_html", "_paths", "_constant").mapInArrow(run, f"{types}, text string, n_chars long")
 
 
 def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

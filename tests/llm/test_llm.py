@@ -346,6 +346,16 @@ def test_html(spark):
     assert html_wrappers.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}.example/{i}", h) for i, (host, h) in enumerate(pages)]
+    return [r.text for r in sorted(html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_regions_are_chosen_by_page(spark):
+    pages = [("a", "<article><p>in article</p></article>"), ("a", "<main><p>in main</p></main>"), ("a", "<div><h1>head</h1><p>short</p><section><p>a longer section of text</p></section><ul><li>one<li>two</ul></div>")]
+    assert texts_of(spark, pages) == ["in article", "in main", "head\n\nshort\n\na longer section of text\n\none\n\ntwo"]
+
+
 def test_wrapper_expressions():
     a, b = html_wrappers.induce("<ul><li>a<li>b</ul><p>x</p>"), html_wrappers.induce("<ul><li>a<li>b<li>c</ul><h2>n</h2><p>y</p><p>z</p>")
     assert html_wrappers.merge(a, b)[0] == [["+", [["s", "ul/li"]]], ["?", [["s", "h2"]]], ["+", [["s", "p"]]]]
