@@ -356,6 +356,11 @@ def test_regions_are_chosen_by_page(spark):
     assert texts_of(spark, pages) == ["in article", "in main", "head\n\nshort\n\na longer section of text\n\none\n\ntwo"]
 
 
+def test_constant_texts_are_no_content(spark):
+    pages = [("a", f"<article><p>text {i}</p><p>Read more of us</p></article>") for i in range(4)] + [("b", "<article><p>same</p><p>page</p></article>")] * 4
+    assert texts_of(spark, pages) == [f"text {i}" for i in range(4)] + ["same\n\npage"] * 4
+
+
 def test_wrapper_expressions():
     a, b = html_wrappers.induce("<ul><li>a<li>b</ul><p>x</p>"), html_wrappers.induce("<ul><li>a<li>b<li>c</ul><h2>n</h2><p>y</p><p>z</p>")
     assert html_wrappers.merge(a, b)[0] == [["+", [["s", "ul/li"]]], ["?", [["s", "h2"]]], ["+", [["s", "p"]]]]
