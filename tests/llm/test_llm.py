@@ -361,6 +361,11 @@ def test_constant_texts_are_no_content(spark):
     assert texts_of(spark, pages) == [f"text {i}" for i in range(4)] + ["same\n\npage"] * 4
 
 
+def test_texts_with_a_common_start_vary(spark):
+    start = "The same ninety characters open every page of this series and then each goes its own way: "
+    assert len(start) > 80 and texts_of(spark, [("a", f"<div>{start}{i}</div>") for i in range(4)]) == [f"{start}{i}" for i in range(4)]
+
+
 def test_wrapper_expressions():
     a, b = html_wrappers.induce("<ul><li>a<li>b</ul><p>x</p>"), html_wrappers.induce("<ul><li>a<li>b<li>c</ul><h2>n</h2><p>y</p><p>z</p>")
     assert html_wrappers.merge(a, b)[0] == [["+", [["s", "ul/li"]]], ["?", [["s", "h2"]]], ["+", [["s", "p"]]]]
