@@ -4,8 +4,9 @@ A document longer than a sequence is cut into whole sequences after a shorter fi
 pieces are dealt by hash into cells of about `cell` pieces, so no task grows with the corpus; a
 cell is packed best-fit decreasing and, while it has more bins than its tokens need, the emptiest
 bin is drained: items move to other underfull bins, or are exchanged one for one, two for one or
-one for two, each step increasing the sum of squared fills, until bins empty. A cell leaves at
-most about one bin in a few thousand that a packing over all cells might save.
+one for two, each step increasing the sum of squared fills, until bins empty. The search of a cell
+ends when every underfull bin has been tried without success since the last one emptied. A cell leaves
+about one bin in a few thousand that a packing over all cells might save.
 
 A null or empty text has its end token only. Repeated rows and null identifiers are packed like
 any others; an empty table gives an empty result.
@@ -57,8 +58,8 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-def _drain(victim: int, bins: list[list[int]], fill: list[int], sizes: list[int], cap: int, steps: int) -> bool:
-    """Exchange until the victim is empty; False where no step helps or steps run out."""
+def _drain(victim: int, bins: list[list[int]], fill: list[int], sizes: list[int], cap: int) -> bool:
+    """Exchange until the victim is empty; False where no step helps."""
     others = [b for b in range(len(bins)) if b != victim and bins[b] and fill[b] < cap]
 
     def shift(out: list[int], b: int, back: list[int]) -> None:
@@ -72,12 +73,11 @@ def _drain(victim: int, bins: list[list[int]], fill: list[int], sizes: list[int]
         fill[victim] -= moved
         fill[b] += moved
 
-    for _ in range(steps):
-        if not bins[victim]:
-            return True
+    while bins[victim]:
         best: tuple = (0,)
         own = sorted(bins[victim], key=lambda i: -sizes[i])
-        pairs = sorted((sizes[a] + sizes[c], a, c) for k, a in enumerate(own[:40]) for c in own[k + 1 : 40])
+        own = [i for k, i in enumerate(own) if k < 2 or sizes[own[k - 2]] != sizes[i]]  # a third of one size adds no pair
+        pairs = sorted((sizes[a] + sizes[c], a, c) for k, a in enumerate(own) for c in own[k + 1 :])
         sums = [p[0] for p in pairs]
         for b in others:
             space = cap - fill[b]
@@ -111,23 +111,23 @@ def _drain(victim: int, bins: list[list[int]], fill: list[int], sizes: list[int]
         if not best[0]:
             return False
         shift(list(best[2]), best[1], list(best[3]))
-    return not bins[victim]
+    return True
 
 
-def pack(sizes: list[int], cap: int, victims: int = 64, steps: int = 200) -> list[list[int]]:
-    """Bins of indices into sizes; victims and steps bound the local search of a cell."""
+def pack(sizes: list[int], cap: int) -> list[list[int]]:
+    """Bins of indices into sizes."""
     bins = best_fit(sizes, cap)
     fill = [sum(sizes[i] for i in b) for b in bins]
     least = -(-sum(sizes) // cap)
     tried: set[int] = set()
-    for _ in range(victims):
+    while True:
         live = [b for b in range(len(bins)) if bins[b]]
         open_ = [b for b in live if b not in tried and fill[b] < cap]
         if len(live) <= least or not open_:
             break
         victim = min(open_, key=fill.__getitem__)
         tried.add(victim)
-        if _drain(victim, bins, fill, sizes, cap, steps):
+        if _drain(victim, bins, fill, sizes, cap):
             tried.clear()
     return [b for b in bins if b]
 

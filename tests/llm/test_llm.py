@@ -331,6 +331,20 @@ def test_local_search_empties_bins():
     assert better > 0
 
 
+def test_pairs_of_all_short_items_are_tried():
+    """Only the two shortest of 42 items can be exchanged for the one in the other bin."""
+    sizes = [20] * 40 + [3, 4, 6, 993]
+    bins, fill = [list(range(42)), [42, 43]], [807, 999]
+    assert not packing._drain(0, bins, fill, sizes, 1000)
+    assert fill == [806, 1000] and sorted(bins[1]) == [40, 41, 43]
+
+
+def test_local_search_goes_on_past_many_bins():
+    sizes = [4, 4, 3, 3, 3, 3] * 240  # best fit decreasing leaves 4, 4 and 3, 3, 3; all could be 4, 3, 3
+    assert len(packing.best_fit(sizes, 10)) == 560
+    assert len(packing.pack(sizes, 10)) <= 485
+
+
 PAGES = [
     ("<html><head><title>t</title></head><body><nav><ul><li>one<li>two</ul></nav><div class='ad x'>buy</div><article><h1>A &amp; B</h1><p><b>first\n text<br>more<p>second</article><section id=comments><p>me too</section><footer>&copy;</footer>", "A & B\n\nfirst text more\n\nsecond"),
     ("<body><main><p>only</p><form><p>mail</p></form><aside>x</aside><script>var a='<p>no</p>'</script></main></body>", "only"),
