@@ -185,6 +185,12 @@ def b16_order_snapshots(spark, sf_dir):
     return _live(spark, sf_dir).where("locate = 1 and ref % 10 = 0").select("ref", "side", "price", "remaining")
 
 
+@query
+def b16_all_order_snapshots(spark, sf_dir):
+    """Every live order of every locate; b16_order_snapshots is a point filter on the same rows."""
+    return _live(spark, sf_dir).select("locate", "ref", "side", "price", "remaining")
+
+
 @query
 def b17_live_orders(spark, sf_dir):
     life, feed = _life(spark, sf_dir)

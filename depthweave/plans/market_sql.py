@@ -106,6 +106,7 @@ SQL = {
     "b14_level_queues": LIFE + "SELECT locate, side, price, string_agg(ref, ' ' ORDER BY birth_seq) AS refs FROM live GROUP BY locate, side, price",
     "b15_front_orders": LIFE + "SELECT locate, side, price, arg_min(ref, birth_seq) AS ref, arg_min(remaining, birth_seq) AS remaining FROM live GROUP BY locate, side, price",
     "b16_order_snapshots": LIFE + "SELECT ref, side, price, remaining FROM live WHERE locate = 1 AND ref % 10 = 0",
+    "b16_all_order_snapshots": LIFE + "SELECT locate, ref, side, price, remaining FROM live",
     "b17_live_orders": LIFE + "SELECT locate, (SELECT count(*) FROM live l WHERE l.locate = books.locate) AS live_orders FROM books",
     "b18_violations": LIFE + "SELECT locate, side, price FROM live GROUP BY locate, side, price HAVING min(remaining) <= 0",
     "b19_listener_tape": LIFE + "SELECT seq, 2 * sub_seq AS sub_seq, event, locate, ref, side, coalesce(tape, price) AS price, qty, prints FROM fx UNION ALL SELECT seq, 2 * sub_seq + 1, 'level', locate, NULL, side, price, qty_after, NULL FROM series",

@@ -1,6 +1,7 @@
 """The market operators against small cases and a message-by-message fold."""
 
 import struct
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -214,3 +215,17 @@ def test_endpoints():
     assert endpoint("127.0.0.1:6001") == ("127.0.0.1", 6001)
     assert [endpoint(x) for x in ("a:1", "1.2.3.4:0", "1.2.3.4:65536", "1.2.3.4", "1.2.3.400:5")] == [None] * 5
     assert is_multicast("233.1.2.3") and not is_multicast("10.0.0.1")
+
+
+def test_snapshots_cover_every_live_order(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from depthweave.plans import registry
+
+    folder, con = Path("/root/testdata/sf0.001"), duckdb.connect()
+    if not folder.exists():
+        pytest.skip("no test data")
+    for f in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    got = sorted(map(tuple, registry.QUERIES["b16_all_order_snapshots"](spark, str(folder)).collect()))
+    assert len({x[0] for x in got}) > 1
+    assert got == sorted(con.execute(registry.SQL["b16_all_order_snapshots"]).fetchall())
