@@ -9,13 +9,20 @@ class can't be met, so it holds its place at the front of the prefix and goes no
 
 Classes meet on prefix shingles: in star rounds each with the most central class of the shingle
 (the one with the smallest share of unshared shingles), then, of the shingles whose classes are
-still in different groups, all pairs of different groups. Length and positional filters come
-first; a suffix filter bounds the overlap by counts over RANGES ranges of the hash; then a pair is
-verified, once, on its two texts. Pairs inside a group that is already connected are not made: no
-group's size is squared, yet every link between different groups is found.
+still in different groups, each with all of other groups and like length. A star round follows
+another while some of the pairs it tries are links and some aren't: neither share under PRODUCTIVE,
+and ROUNDS at most. In the last round a pair
+is made where it first meets: a posting carries the BEFORE open shingles before it, and two that
+have one of these in common have met there. Length and positional filters come first; a suffix
+filter bounds the overlap by counts over RANGES ranges of the hash; then a pair is verified, once,
+on its two texts, which are fetched once for all classes that can meet another. Pairs inside a
+group that is already connected are not made: yet every link between different groups is found.
 
 A null or wordless text has an empty set and is linked with nothing; its component is its own
-identifier. Repeated rows get a row each. An empty table gives an empty result.
+identifier. Repeated rows get a row each. Texts of any length are taken whole: one longer than a
+block is a block of its own. Ties of frequency go by hash, ties of identifiers by the least. Other
+columns of the input aren't read. An empty table gives an empty result. The input is read more
+than once; where its plan shuffles, so that its order may differ, it is written first.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import discard, written
 from .words import blank_table, grams, mix, pieces, split
@@ -38,6 +46,9 @@ BLOOM = 1 << 25
 RANGES = 128
 BLOCK = 4 << 20  # bytes of text
 CROWD = 64
+CROWDED_KEY = 4096  # classes of a shingle that one task compares with all others
+BEFORE = 16
+PRODUCTIVE = 0.25
 _CROWDED = np.uint32(2**32 - 1)
 ROUNDS = 3
 
@@ -70,17 +81,6 @@ def range_counts(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(counts))
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cls, ranges) of every document."""
-
-    def run(batches):
-        for b in pieces(batches, "text"):
-            sets = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), range_counts(sets)], names=["doc_id", "n", "cls", "ranges"])
-
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, ranges array<int>")
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     """Shingles of a set of n that any set at the threshold must share one of."""
     return n - -(-n * num // den) + 1
@@ -110,25 +110,28 @@ def _parted(data: bytes) -> list[bytes]:
 
 
 def _blocks(batches, k: int):
-    """(block, cls, n, token, doc) of blocks of texts; equal sets of a block count once."""
-    part, number, held, size = TaskContext.get().partitionId(), 0, {}, 0
+    """(block, cls, n, token, doc, rows) of blocks of texts; equal sets of a block count once.
+
+    rows has the identifier, the size of the set and the class of every document of the block.
+    """
+    part, number, held, rows, size = TaskContext.get().partitionId(), 0, {}, [], 0
 
     def made():
-        cls, sets = np.array(list(held), np.int64), list(held.values())
-        n = np.array([len(s) for s in sets], np.int64)
+        cls, sets = np.array(list(held), np.int64), [np.zeros(0, np.uint64), *held.values()]
+        n = np.array([len(s) for s in sets[1:]], np.int64)
         mark = int(mix(cls.view(np.uint64)).sum(dtype=np.uint64) >> np.uint64(40)) if len(cls) else 0
-        return (part << 44) + (number << 24) + mark, cls, n, np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), n)
+        return (part << 44) + (number << 24) + mark, cls, n, np.concatenate(sets), np.repeat(np.arange(len(n), dtype=np.uint32), n), rows
 
     for b in pieces(batches, "text"):
-        for s in shingle_sets(b.column("text"), k):
-            if len(s):
-                held[class_of(s)] = s
+        sets = shingle_sets(b.column("text"), k)
+        own = [class_of(s) for s in sets]
+        held |= {c: s for c, s in zip(own, sets, strict=True) if len(s)}
+        rows.append((b.column("doc_id"), [len(s) for s in sets], own))
         size += b.column("text").nbytes
         if size >= BLOCK:
-            if held:
-                yield made()
-            number, held, size = number + 1, {}, 0
-    if held:
+            yield made()
+            number, held, rows, size = number + 1, {}, [], 0
+    if rows:
         yield made()
 
 
@@ -145,13 +148,15 @@ _SENT = "kind int, key long, block long, data binary"
 
 
 def _ask(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """To each bucket: a block's shingles (low 32 bits, in order), their texts, the texts' classes.
+    """To each bucket: a block's shingles (low 32 bits, in order), their texts, those texts' classes.
 
     A shingle that more than CROWD texts of the block have is sent once, with its count.
     """
 
     def run(batches):
-        for block, cls, _, token, doc in _blocks(batches, k):
+        for block, cls, _, token, doc, _ in _blocks(batches, k):
+            if not len(token):
+                continue
             token, doc, start, size, crowded = _local(token, doc)
             keep = ~np.repeat(crowded, size)
             tokens, docs_, counts = np.concatenate([token[keep], token[start[crowded]]]), np.concatenate([doc[keep], np.full(crowded.sum(), _CROWDED, np.uint32)]), np.concatenate([np.ones(keep.sum(), np.uint32), size[crowded].astype(np.uint32)])
@@ -160,31 +165,36 @@ def _ask(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             rows = []
             for at in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
                 low = (tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows.append((int(where[at[0]]), _joined([_pack(np.diff(low, prepend=np.uint32(0))), _pack(docs_[at]), _pack(counts[at]), _pack(cls)])))
+                there = np.unique(docs_[at])
+                rows.append((int(where[at[0]]), _joined([_pack(np.diff(low, prepend=np.uint32(0))), _pack(docs_[at]), _pack(counts[at]), _pack(there), _pack(cls[there[there != _CROWDED]])])))
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "key", "block", "data"])
 
-    return docs.select("text").mapInArrow(run, _SENT)
+    return docs.mapInArrow(run, _SENT)
 
 
-def _keep(docs: DataFrame, k: int) -> DataFrame:
-    """What a block keeps: its classes and set sizes, and who has its crowded shingles."""
+def _own(docs: DataFrame, k: int) -> DataFrame:
+    """What a block keeps: its documents, classes and set sizes, and who has its crowded shingles."""
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        for block, cls, n, token, doc in _blocks(batches, k):
+        for block, cls, n, token, doc, rows in _blocks(batches, k):
             token, doc, _, size, crowded = _local(token, doc)
             own = np.repeat(crowded, size)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([block], pa.int64()), pa.array([_joined([_pack(cls), _pack(n), _pack(token[own]), _pack(doc[own])])], pa.binary())], names=["kind", "key", "block", "data"])
+            ids = pa.concat_arrays([r[0] for r in rows])
+            each = pa.StructArray.from_arrays([ids, *(pa.array([x for r in rows for x in r[i]], pa.int64()) for i in (1, 2))], names=["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_joined([_pack(cls), _pack(n), _pack(token[own]), _pack(doc[own])])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), each)], names=["block", "data", "docs"])
 
-    return docs.select("text").mapInArrow(run, _SENT)
+    return docs.mapInArrow(run, f"block long, data binary, docs array<struct<doc_id:{kind.simpleString()},n:long,cls:long>>")
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """To each block: which of its shingles more than one class has, and in how many texts."""
     parts = []
     for i, data in enumerate(group["data"]):
-        low, doc, count, cls = _parted(data)
-        low, doc, count, cls = np.cumsum(_unpack(low, np.uint32), dtype=np.uint32), _unpack(doc, np.uint32), _unpack(count, np.uint32), _unpack(cls, np.int64)
-        parts.append((low, doc, count, np.where(doc == _CROWDED, -1, cls[np.minimum(doc, len(cls) - 1)]), np.full(len(low), i)))
+        low, doc, count, there, cls = _parted(data)
+        low, doc, count = np.cumsum(_unpack(low, np.uint32), dtype=np.uint32), _unpack(doc, np.uint32), _unpack(count, np.uint32)
+        cls = np.append(_unpack(cls, np.int64), -1)  # the last: of a crowded shingle
+        parts.append((low, doc, count, cls[np.searchsorted(_unpack(there, np.uint32), doc)], np.full(len(low), i)))
     low, doc, count, cls, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.argsort(low, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], np.diff(low[by]) != 0]))
@@ -234,23 +244,24 @@ def _choose(group: pd.DataFrame, num: int, den: int, buckets: int) -> pd.DataFra
     place = alone[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m)
     ok = place < (n - (n * num + den - 1) // den + 1)[doc]
     d = doc[ok]
-    return pd.DataFrame({"token": token[ok], "cls": cls[d], "n": n[d], "pos": place[ok], "alone": alone[d] / n[d]})
+    return pd.DataFrame({"token": token[ok], "cls": cls[d], "n": n[d], "pos": place[ok], "alone": alone[d]})
 
 
-def _postings(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, own: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
     """(token, cls, n, pos, alone): prefix shingles of two classes or more, by exact frequency."""
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         return _choose(group, num, den, buckets)
 
     answers = _ask(docs, k, buckets).groupBy("key").applyInPandas(_answer, _SENT)
-    return _keep(docs, k).unionByName(answers).groupBy("block").applyInPandas(choose, "token long, cls long, n long, pos long, alone double").dropDuplicates(["token", "cls"])
+    kept = own.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), "block", "data")
+    return kept.unionByName(answers).groupBy("block").applyInPandas(choose, "token long, cls long, n long, pos long, alone long").dropDuplicates(["token", "cls"])
 
 
-def _may_reach(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _may_reach(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The suffix filter: pairs whose counts by hash range allow the overlap they need."""
-    one = reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
-    two = reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
+    one = texts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
+    two = texts.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
 
     def run(batches):
         for b in batches:
@@ -268,25 +279,30 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return (den + num) * min(len(x), len(y)) >= need and (den + num) * len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(reps.select("cls", "rep"), "cls"), "nodes")
-    bits = _bloom(wanted)
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, n, ranges, text) of the wanted (cls, rep): one document of each class."""
+    bits = _bloom(wanted.select(F.xxhash64("rep").alias("cls")))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def likely(batches):
         own = shared.value
-        for b in pieces(batches, "text"):
-            cls = np.array([class_of(s) for s in shingle_sets(b.column("text"), k)], np.int64)
-            at = (mix(cls.view(np.uint64)) % BLOOM).astype(np.int64)
-            keep = np.flatnonzero((own[at >> 3] >> (at & 7)) & 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), pa.array(cls[keep]), b.column("text").take(pa.array(keep))], names=["doc_id", "cls", "text"])
+        for b in batches:
+            at = (mix(b.column("_key").to_numpy().view(np.uint64)) % BLOOM).astype(np.int64)
+            yield from _with_sets(b.take(pa.array(np.flatnonzero((own[at >> 3] >> (at & 7)) & 1))))
 
-    found = docs.mapInArrow(likely, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, text string")
+    def _with_sets(rows):
+        for b in pieces([rows], "text"):
+            sets = shingle_sets(b.column("text"), k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), range_counts(sets), b.column("text")], names=["doc_id", "cls", "n", "ranges", "text"])
+
+    found = docs.withColumn("_key", F.xxhash64("doc_id")).mapInArrow(likely, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, n long, ranges array<int>, text string")
     ours = wanted.select(F.col("cls").alias("_cls"), "rep")
     kept = found.join(ours, (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = written(kept.dropDuplicates(["doc_id", "cls"]).select("cls", "text"), "texts")
+    return written(kept.dropDuplicates(["cls"]).select("cls", "n", "ranges", "text"), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold."""
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("other"))
 
@@ -295,7 +311,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: i
             ok = [similar(x, y, num, den) for x, y in zip(shingle_sets(b.column("text"), k), shingle_sets(b.column("other"), k), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text", "other").mapInArrow(verify, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text", "other").mapInArrow(verify, "a long, b long")
 
 
 def _bloom(nodes: DataFrame) -> np.ndarray:
@@ -347,58 +363,91 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v")).distinct()
 
 
+def _stable(df: DataFrame) -> DataFrame:
+    """df, or what is written of it where a shuffle could give its rows in another order."""
+    return written(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def _near(x: str, y: str, num: int, den: int, met):
+    """The length filter, and the positional filter on a common shingle.
+
+    met: how many shingles before it the two can have in common at most.
+    """
+    n, m, i, j = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"pos{x}"), F.col(f"pos{y}")
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * (F.least(n - i, m - j) + met) >= num * (n + m))
+
+
+def _star(open_: DataFrame, step: int, num: int, den: int) -> DataFrame:
+    """Pairs of each class with the most central one of its shingle, or of one group there."""
+    x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "alone", "label")])
+    order = F.struct(F.xxhash64("label", F.lit(step)).alias("h") if step else F.lit(0).alias("h"), (F.col("alone") / F.col("n")).alias("share"), F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("alone").alias("alone_y"), F.col("label").alias("label_y"))
+    hubs = open_.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
+    met = F.least(F.col("pos_x") - F.col("alone_x"), F.col("pos_y") - F.col("alone_y"))
+    return x.join(hubs, "token").where((F.col("label_x") != F.col("label_y")) & _near("_x", "_y", num, den, met))
+
+
+def _all(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes of different groups, each where it meets first.
+
+    Keys are a shingle and a band of lengths; a shingle of very many classes is dealt over several.
+    """
+    by = Window.partitionBy("cls").orderBy("pos")
+    placed = open_.withColumn("r", F.row_number().over(by) - 1).withColumn("before", F.collect_list("token").over(by.rowsBetween(-BEFORE, -1)))
+    placed = written(placed, "open")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(max(den / num, 1.01))))
+    parts = F.ceil(F.col("size") / CROWDED_KEY)
+    columns = ("cls", "n", "pos", "label", "r", "before")
+    least = F.ceil(num * F.col("n") / den)
+    bands = F.explode(F.sequence(band(F.greatest(least, F.lit(1))), band(F.col("n"))))
+    x = placed.select("token", *[F.col(c).alias(f"{c}_x") for c in columns], bands.alias("band"), "size")
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("size")
+    y = placed.select("token", *[F.col(c).alias(f"{c}_y") for c in columns], band(F.col("n")).alias("band"), F.pmod(F.xxhash64("cls"), parts).alias("part"))
+    left_out = F.greatest(F.lit(0), F.col("r_x") - BEFORE) + F.greatest(F.lit(0), F.col("r_y") - BEFORE)
+    smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("cls_y") < F.col("cls_x")))
+    return x.join(y, ["token", "band", "part"]).where((F.col("label_x") != F.col("label_y")) & smaller & _near("_x", "_y", num, den, F.least("r_x", "r_y", left_out)) & ~F.arrays_overlap("before_x", "before_y"))
+
+
 def jaccard_groups(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of df.
 
     Two documents link when den * |intersection| >= num * |union| of their k-shingle sets.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    classes = written(_classes(docs, k), "classes")
+    docs = _stable(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    own = written(_own(docs, k), "own")
+    classes = own.select(F.explode("docs").alias("doc")).select("doc.*")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    reps = written(classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "reps")
-    postings = written(_postings(docs, k, num, den, max(4, int(total) // 2_000_000)), "postings")
-
-    def near(x: str, y: str):
-        """The length filter, and the positional filter on a common shingle."""
-        n, m, i, j = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"pos{x}"), F.col(f"pos{y}")
-        bound = F.least(n - i, m - j) + F.least(i, j)
-        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * bound >= num * (n + m))
-
-    links, tried = None, None
-    labels = reps.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
-    for step in range(ROUNDS + 1):
+    reps = written(classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    postings = written(_postings(docs, own, k, num, den, max(4, int(total) // 2_000_000)), "postings")
+    meeting = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "token")
+    texts = _texts(docs, written(meeting.select("cls").distinct().join(reps, "cls"), "wanted"), k)
+
+    tried = None
+    links, labels = None, reps.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
+    step, last = 0, False
+    while True:
         marked = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        open_ = written(marked.select("token", "cls", "n", "pos", "alone", "label").join(apart, "token"), "open")
-        if step < ROUNDS:  # a star around the most central class, then around one of another group
-            x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos", "label")])
-            order = F.struct(F.xxhash64("label", F.lit(step)).alias("h") if step else F.lit(0).alias("h"), "alone", F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("label").alias("label_y"))
-            hubs = open_.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
-            pairs = x.join(hubs, "token").where((F.col("label_x") != F.col("label_y")) & near("_x", "_y"))
-        else:
-            full = written(open_.join(reps.select("cls", "ranges"), "cls"), "open")
-            x, y = (full.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "label", "ranges")]) for s in "xy")
-            common = F.aggregate(F.zip_with("ranges_x", "ranges_y", lambda a, b: F.least(a, b)), F.lit(0), lambda sum_, v: sum_ + v)
-            reach = (num + den) * common >= num * (F.col("n_x") + F.col("n_y"))
-            pairs = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & (F.col("cls_x") > F.col("cls_y")) & near("_x", "_y") & reach)
-        pairs = pairs.select(F.greatest("cls_x", "cls_y").alias("a"), F.least("cls_x", "cls_y").alias("b")).distinct()
+        apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+        open_ = marked.select("token", "cls", "n", "pos", "alone", "label").join(apart, "token")
+        if not last:
+            open_ = written(open_, "open")
+        pairs = (_all(open_, num, den) if last else _star(open_, step, num, den)).select(F.greatest("cls_x", "cls_y").alias("a"), F.least("cls_x", "cls_y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if open_.isEmpty():
-                break
-            continue
         tried = pairs if tried is None else tried.union(pairs)
-        likely = written(_may_reach(pairs, reps, num, den), "likely") if step < ROUNDS else pairs
-        found = written(_verified(docs, reps, likely, k, num, den), "links")
-        if not found.isEmpty():
+        found = written(_verified(texts, written(_may_reach(pairs, texts, num, den), "likely"), k, num, den), "links")
+        n = found.count()
+        if n:
             links = found if links is None else links.union(found)
             labels = connected(links)
+        if last:
+            break
+        step += 1
+        last = step == ROUNDS or not PRODUCTIVE * (m := pairs.count()) < n < (1 - PRODUCTIVE) * m
     labelled = reps.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "label").select("cls", "component_id")
-    out = classes.drop("ranges").join(named, "cls", "left")
+    out = classes.join(named, "cls", "left")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

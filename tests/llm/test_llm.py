@@ -493,3 +493,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert "q7Zk29LmX0pT" not in text.text and "password = [REDACTED]" in text.text and text.n_chars == len(text.text)
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024 and len(packed.doc_id.unique()) == len(clean)
+
+
+@pytest.mark.parametrize(("before", "crowded"), [(16, 4096), (1, 5)])
+def test_jaccard_groups_of_graded_copies(spark, monkeypatch, before, crowded):
+    """Chains of copies that drift apart, and many texts on one common passage; nothing is lost."""
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
+    monkeypatch.setattr(jaccard_join, "CROWDED_KEY", crowded)
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    rows, passage = [], [word() for _ in range(30)]
+    for f in range(4):
+        w = [word() for _ in range(60)]
+        for _ in range(14):
+            w = list(w)
+            for _ in range(r.choice([0, 1, 2])):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    for _ in range(60):
+        rows.append((len(rows), " ".join(passage + [word() for _ in range(r.randint(1, 8))])))
+    rows.append((len(rows), " ".join(word() for _ in range(60_000))))
+    rows.append((len(rows), rows[-1][1] + " more"))
+    sets, least = components(rows, 3, 4, 5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect()}
+    assert got == {i: (len(sets[i]), least[i]) for i, _ in rows}
+    assert 5 < len(set(least.values())) < len(rows) - 40
