@@ -19,7 +19,11 @@ with its number of next symbols where it is a state; so no task holds the tree.
 than an eighth of a bucket's tokens is dealt over several buckets, and its sums are added by the
 driver and sent to all tasks; there are at most eight such contexts a bucket and length.
 
-A null or wordless text has the end only. A null identifier counts as training. Repeated rows
+After contexts of REDUCED words a block is written anew: the sums of each text, and of its tokens
+only those that a longer candidate context precedes, which are few.
+
+A null or wordless text has the end only. Texts of any length are scored whole; ties don't matter,
+as no order among equals is used; other columns aren't read. A null identifier counts as training. Repeated rows
 count and score each; an empty table gives an empty result.
 """
 
@@ -47,6 +51,7 @@ END = np.uint64(0x9D39247E33776D41)
 _LOW = np.uint64(0xFFFFFFFF)
 _ROW = "bucket int, block long, kind int, data binary"
 DISCOUNT = 0.75
+REDUCED = 2  # after contexts of so many words, a block keeps only tokens that longer ones may have
 
 
 @dataclass
@@ -157,14 +162,16 @@ def _gather(batches, limit):
 
 
 class Events(NamedTuple):
-    """Tokens after contexts of one length, and the distinct pairs of context and token as sent."""
+    """Tokens after contexts of one length, and their distinct pairs of context and token.
+
+    Pairs are in the order in which they are sent: by bucket, then context.
+    """
 
     at: np.ndarray  # the tokens
     total: np.ndarray  # how often their contexts occur
     seq: np.ndarray  # hashes of context and token
-    first: np.ndarray  # of each distinct pair, one of the tokens
     which: np.ndarray  # of each token, its pair
-    order: np.ndarray  # the pairs as sent, by bucket and context; so are the following
+    first: np.ndarray  # of each pair, one of the tokens; the following are of pairs, too
     ctx: np.ndarray
     low: np.ndarray
     hot: np.ndarray
@@ -172,17 +179,78 @@ class Events(NamedTuple):
     new: np.ndarray  # does a context begin here?
 
 
+def grouped(key: np.ndarray, seq: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """An order by key in which equal seq stand together; equal ones have equal keys."""
+    by = np.argsort(key)
+    k, s = key[by], seq[by]
+    same = k[1:] == k[:-1]
+    mixed = np.flatnonzero(same & (s[1:] != s[:-1]))
+    if len(mixed):  # runs of one key that hold several sequences
+        run = np.concatenate([[0], np.cumsum(~same)])
+        bad = np.zeros(run[-1] + 1, bool)
+        bad[run[mixed]] = True
+        m = np.flatnonzero(bad[run])
+        own = by[m]
+        by[m] = own[np.lexsort((seq[own], ctx[own], k[m]))]
+    return by
+
+
 class Block:
     """One block with the answers it has had, and what follows from them."""
 
     def __init__(self, row, answers: dict, tree: Tree):
-        self.tree, self.answers = tree, answers
-        self.ids, self.keys = row["ids"], unpack(row["keys"], np.uint64)
-        self.lens, self.tok = unpack(row["lens"], np.int64), unpack(row["tok"], np.uint32)
+        self.tree, self.answers, self.ids, self.done = tree, answers, row["ids"], 0
+        self.lens = unpack(row["lens"], np.int64)
         self.out = np.frombuffer(row["out"], np.uint8).astype(bool)
-        self.train = np.repeat(~self.out, self.lens)
+        if row.get("state"):
+            self._resume(row["state"])
+            return
+        self.keys, self.tok = unpack(row["keys"], np.uint64), unpack(row["tok"], np.uint32)
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.train = ~self.out[self.doc]
         first = np.cumsum(self.lens) - self.lens
-        self.place = np.arange(len(self.tok)) - np.repeat(first, self.lens)
+        self.place = np.arange(len(self.tok)) - first[self.doc]
+
+    def reduced(self, d: int) -> dict:
+        """This block after length d: sums of each text, and the tokens that a longer context may have."""
+        self._up_to(d)
+        at = np.flatnonzero(self.place > d)
+        at = at[self.seen[at - 1] >= self.tree.least]
+        live = np.zeros(len(self.tok), bool)
+        live[at] = True
+        size = len(self.lens)
+        base = np.log10((self.count + 1) / (self.tree.tokens + self.tree.words + 1))
+        sums = [np.bincount(self.doc, weights=x, minlength=size) for x in (self.count > 0, base, np.where(live, 0.0, np.log10(self.chance)))]
+        follows = np.zeros(len(at), bool)
+        follows[1:] = at[1:] == at[:-1] + 1
+        parts = [np.array([d], np.int64), *sums, np.bincount(self.doc[at], minlength=size), self.seen[at - 1].astype(np.uint32), self.seq[at - 1], self.low[at].astype(np.uint32), self.chance[at].astype(np.float32), follows.astype(np.uint8)]
+        return {"lens": pack(self.lens), "state": joined(parts)}
+
+    def _resume(self, state: bytes) -> None:
+        """Read what reduced() wrote; before a run of tokens stands a place for its first context."""
+        kinds = (np.int64, np.float64, np.float64, np.float64, np.int64, np.uint32, np.uint64, np.uint32, np.float32, np.uint8)
+        done, *self.sums, per, seen, seq, low, chance, follows = parted(state, kinds)
+        self.done = int(done[0])
+        at = np.arange(len(low)) + np.cumsum(follows == 0)
+        size = len(low) + int((follows == 0).sum())
+        doc = np.repeat(np.arange(len(per)), per)
+
+        def spread(x, kind, empty):
+            out = np.full(size, empty, kind)
+            out[at] = x
+            return out
+
+        self.place, self.low, self.chance = spread(2**40, np.int64, 0), spread(low, np.uint64, 0), spread(chance, np.float64, 1.0)
+        self.doc, self.train = spread(doc, np.int64, 0), spread(~self.out[doc], bool, False)
+        self.seen, self.seq = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        self.seen[at - 1], self.seq[at - 1] = seen, seq
+
+    def _up_to(self, d: int) -> None:
+        """Fold in all answers to contexts of up to d words."""
+        if not self.done:
+            self.words()
+        for k in range(self.done + 1, d + 1):
+            self.extend(k, self.events(k))
 
     def word_request(self) -> tuple[np.ndarray, np.ndarray]:
         return self.keys, np.bincount(self.tok[self.train], minlength=len(self.keys))
@@ -218,66 +286,69 @@ class Block:
 
         Contexts tell next words apart by 32 bits of their hashes.
         """
+        t = self.tree
         at = np.flatnonzero(self.place >= d)
-        at = at[self.seen[at - 1] >= self.tree.least]
-        total, seq = self.seen[at - 1], longer(self.seq[at - 1], self.low[at])
-        first, which = distinct(seq)
-        ctx, low, often = self.seq[at[first] - 1], self.low[at[first]], total[first]
-        share = low % (-(-often // self.tree.hot)).astype(np.uint64)
-        where = self._bucket(ctx + share * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort((where.astype(np.uint64) << np.uint64(40)) | (ctx >> np.uint64(24)), kind="stable")
-        ctx, where = ctx[order], where[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (ctx[1:] != ctx[:-1]) | (where[1:] != where[:-1])
-        return Events(at, total, seq, first, which, order, ctx, low[order], often[order] > self.tree.hot, where, new)
+        at = at[self.seen[at - 1] >= t.least]
+        total, ctx, low = self.seen[at - 1], self.seq[at - 1], self.low[at]
+        seq, where = longer(ctx, low), self._bucket(ctx)
+        often = np.flatnonzero(total > t.hot)
+        if len(often):
+            share = low[often] % (-(-total[often] // t.hot)).astype(np.uint64)
+            where[often] = self._bucket(ctx[often] + share * np.uint64(0x9E3779B97F4A7C15))
+        bits = max(1, (t.buckets - 1).bit_length())
+        key = (where.astype(np.uint64) << np.uint64(64 - bits)) | (((ctx & ~_LOW) | low) >> np.uint64(bits))
+        by = grouped(key, seq, ctx)
+        s = seq[by]
+        begins = np.ones(len(s), bool)
+        begins[1:] = s[1:] != s[:-1]
+        first = by[begins]
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(begins) - 1
+        own, dealt = ctx[first], where[first]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (dealt[1:] != dealt[:-1])
+        return Events(at, total, seq, which, first, own, low[first], total[first] > t.hot, dealt, new)
 
     def extend(self, d: int, e: Events) -> None:
         """Fold the states of length d into each token's chance."""
-        got, size = self.answered(d), len(e.order)
-        n, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        if size:
-            n[e.order] = np.concatenate([x[0] for x in got])
-            own = np.concatenate([x[1] for x in got]).astype(np.int64)[np.cumsum(e.new) - 1]
+        got, n, kinds = self.answered(d), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(e.first):
+            n = np.concatenate([x[0] for x in got]).astype(np.int64)
+            kinds = np.concatenate([x[1] for x in got]).astype(np.int64)[np.cumsum(e.new) - 1]
             keys = self.tree.keys[d - 1]
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, e.ctx), len(keys) - 1)
-                own = np.where(e.hot, np.where(keys[place] == e.ctx, self.tree.kinds[d - 1][place], 0), own)
-            kinds[e.order] = own
+                kinds = np.where(e.hot, np.where(keys[place] == e.ctx, self.tree.kinds[d - 1][place], 0), kinds)
         n, kinds = n[e.which], kinds[e.which]
         use = np.flatnonzero(kinds)
         i = e.at[use]
         self.chance[i] = (np.maximum(n[use] - DISCOUNT, 0) + DISCOUNT * kinds[use] * self.chance[i]) / e.total[use]
-        seen, seq = np.zeros(len(self.tok), np.int64), np.zeros(len(self.tok), np.uint64)
+        seen, seq = np.zeros(len(self.low), np.int64), np.zeros(len(self.low), np.uint64)
         seen[e.at], seq[e.at] = n, e.seq
         self.seen, self.seq = seen, seq
 
     def request(self, d: int):
         """The rows that ask for the counts of contexts of length d with their next symbols."""
-        self.words()
-        for k in range(1, d):
-            self.extend(k, self.events(k))
+        self._up_to(d - 1)
         e = self.events(d)
-        count = np.bincount(e.which[self.train[e.at]], minlength=len(e.order))[e.order] if len(e.order) else e.order
-        chance = self.chance[e.at][e.first][e.order].astype(np.float32)
-        for at in np.split(np.arange(len(e.order)), np.flatnonzero(np.diff(e.where)) + 1) if len(e.order) else []:
+        count = np.bincount(e.which[self.train[e.at]], minlength=len(e.first))
+        chance = self.chance[e.at[e.first]].astype(np.float32)
+        for at in np.split(np.arange(len(e.first)), np.flatnonzero(np.diff(e.where)) + 1) if len(e.first) else []:
             head = at[e.new[at]]
             runs = np.diff(np.append(head, at[-1] + 1))
             yield int(e.where[at[0]]), d, joined([e.ctx[head], runs.astype(np.uint32), e.hot[head].astype(np.uint8), e.low[at].astype(np.uint32), count[at].astype(np.uint32), chance[at]])
 
     def scores(self) -> pd.DataFrame:
-        self.words()
-        for d in range(1, len(self.tree.keys) + 1):
-            self.extend(d, self.events(d))
-        ends = np.cumsum(self.lens)
-        t = self.tree
-
-        def per(x):
-            s = np.concatenate([[0], np.cumsum(x)])
-            return s[ends] - s[ends - self.lens]
-
-        base = np.log10((self.count + 1) / (t.tokens + t.words + 1))
+        self._up_to(len(self.tree.keys))
+        t, size = self.tree, len(self.lens)
+        logs = np.bincount(self.doc, weights=np.log10(self.chance), minlength=size)
+        if self.done:
+            known, base, score = self.sums[0], self.sums[1], self.sums[2] + logs
+        else:
+            known, base = (np.bincount(self.doc, weights=x, minlength=size) for x in (self.count > 0, np.log10((self.count + 1) / (t.tokens + t.words + 1))))
+            score = logs
         ids = pa.ipc.open_stream(self.ids).read_all().column("id").to_pylist()
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "held_out": self.out, "n_tokens": self.lens, "n_known": per(self.count > 0), "train_tokens": t.tokens, "base_score": [x.sum() for x in np.split(base, ends[:-1])], "score": [x.sum() for x in np.split(np.log10(self.chance), ends[:-1])]})
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "held_out": self.out, "n_tokens": self.lens, "n_known": known.astype(np.int64), "train_tokens": t.tokens, "base_score": base, "score": score})
 
 
 def _judged(sums: np.ndarray, gain: float) -> np.ndarray:
@@ -333,23 +404,30 @@ def _exchange(requests: DataFrame, tree: Tree) -> DataFrame:
     return written(requests.groupBy("bucket").applyInPandas(lambda g: _sum_bucket(g, limits), _ROW), "answers")
 
 
-def _stored(blocks: DataFrame) -> DataFrame:
-    """The blocks written once, bucketed by block, so that answers come to them and they stay."""
-    spark = blocks.sparkSession
-    plain = written(blocks, "blocks")
-    n = max(8, plain.count())
+def _bucketed(rows: DataFrame, n: int) -> DataFrame:
+    """A table in the shared folder, bucketed by block, so that answers come to the blocks."""
+    spark = rows.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/bucketed-{uuid.uuid4().hex}"
-    plain.repartition(n, "block").write.bucketBy(n, "block").sortBy("block").option("path", path).saveAsTable(name)
+    rows.write.bucketBy(n, "block").sortBy("block").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved: the catalog's entry can go, the files stay
     spark.sql(f"DROP TABLE {name}")
-    discard(plain)
+    out.scratch_path = path
     return out
 
 
+def _stored(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks written once, and their number of buckets."""
+    plain = written(blocks, "blocks")
+    n = max(8, plain.count())
+    out = _bucketed(plain.repartition(n, "block"), n)
+    discard(plain)
+    return out, n
+
+
 def _with_answers(blocks: DataFrame, answers: list[DataFrame], f, schema: str) -> DataFrame:
-    got = answers[0]
-    for a in answers[1:]:
+    got = blocks.select(F.lit(0).alias("bucket"), "block", F.lit(0).alias("kind"), F.lit(b"").alias("data")).limit(0)
+    for a in answers:
         got = got.union(a)
     got = got.where("block >= 0").groupBy("block")
 
@@ -397,7 +475,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = _stored(make_blocks(docs))
+    blocks, parts = _stored(make_blocks(docs))
     n, train = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     tree = Tree(buckets=max(4, math.ceil(n / bucket_tokens)), least=max(float(least_count), least_share * train), gain=gain, hot=max(1, bucket_tokens // 8), tokens=train)
     schema = ", ".join(f"{c} {t}" for c, t in (("doc_id", kind), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")))
@@ -412,13 +490,22 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth
 
     answers = [_exchange(blocks.mapInArrow(ask_words, _ROW), tree)]
     _note_words(tree, answers[0])
-    for d in range(1, (longest(train) if depth is None else depth) + 1):
+    deepest = longest(train) if depth is None else depth
+    for d in range(1, deepest + 1):
         shared = docs.sparkSession.sparkContext.broadcast(tree)
 
         def ask(row, got, d=d, shared=shared):
             rows = list(Block(row, got, shared.value).request(d))
             return pd.DataFrame({"bucket": [r[0] for r in rows], "block": row["block"], "kind": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
+        def reduce(row, got, d=d, shared=shared):
+            return pd.DataFrame({c: [x] for c, x in ({c: row[c] for c in ("block", "ids", "out")} | Block(row, got, shared.value).reduced(d - 1)).items()})
+
+        if d == REDUCED + 1:
+            after = _bucketed(_with_answers(blocks, answers, reduce, "block long, ids binary, out binary, lens binary, state binary"), parts)
+            for x in (blocks, *answers):
+                discard(x)
+            blocks, answers = after, []
         answers.append(_exchange(_with_answers(blocks, answers, ask, _ROW), tree))
         if not _note_contexts(tree, answers[-1]) and depth is None:
             break
