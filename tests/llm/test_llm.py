@@ -391,7 +391,38 @@ def test_texts_with_a_common_start_vary(spark):
 
 def test_wrapper_expressions():
     a, b = html_wrappers.induce("<ul><li>a<li>b</ul><p>x</p>"), html_wrappers.induce("<ul><li>a<li>b<li>c</ul><h2>n</h2><p>y</p><p>z</p>")
-    assert html_wrappers.merge(a, b)[0] == [["+", [["s", "ul/li"]]], ["?", [["s", "h2"]]], ["+", [["s", "p"]]]]
+    assert html_wrappers.merge(a, b) == [["+", [["s", "ul/li"]]], ["?", [["s", "h2"]]], ["+", [["s", "p"]]]]
+    page = "".join(f"<h{i % 6 + 1}>a</h{i % 6 + 1}><p>b</p>" for i in range(12)) * 3
+    assert [x[0] for x in html_wrappers.induce(page)] == ["+"] and len(html_wrappers.induce(page)[0][1]) == 12
+
+
+WRAPPED = [("h", f"<article><h1>t{i}</h1>" + "".join(f"<p>n {i} {k}</p>" for k in range(i % 4)) + "<p>Join us</p>" + ("<p>often</p>" if i % 3 else "") + ("<h4>Ad</h4>" if i % 2 else "") + "<ul>" + "".join(f"<li>By</li><li>x{i}{k}</li>" for k in range(1 + i % 3)) + "</ul></article>") for i in range(16)] + [("h", f"<article><h1>t{20 + i}</h1><p>same story</p><p>told thrice</p><p>Join us</p><ul><li>By</li><li>y{i}</li></ul></article>") for i in range(3)]
+
+
+def test_alignment_tells_templates_from_data(spark, monkeypatch):
+    """A fixed text that aligns with itself is template; one that aligns with slots is data."""
+    got = texts_of(spark, WRAPPED)
+    fixed = {html_wrappers._hash(p + "\0" + t) for p, t in (("article/p", "Join us"), ("article/ul/li", "By"), ("article/p", "often"), ("article/h4", "Ad"), ("article/p", "same story"), ("article/p", "told thrice"))}
+    whole = []
+    for _, page in WRAPPED:  # one after the other, with no groups or rounds
+        one = html_wrappers.induce(page, fixed)
+        whole = html_wrappers.align(whole, one) if whole else one
+    assert got == [html_wrappers.extract(page, *html_wrappers.content(whole)) for _, page in WRAPPED]
+    assert not any(x in t for t in got for x in ("Join us", "By", "Ad")) and got[1] == "t1\n\nn 1 0\n\noften\n\nx10\n\nx11"
+    assert got[16] == "t20\n\nsame story\n\ntold thrice\n\ny0"
+    unaligned = {x[2] for _, page in WRAPPED for x in html_wrappers._leaves(html_wrappers.induce(page, fixed)) if x[0] == "c"}
+    paths = html_wrappers.content(whole)[0]
+    assert html_wrappers.extract(WRAPPED[16][1], paths, unaligned) != got[16]
+
+
+def test_layout_around_content_is_no_furniture(spark):
+    pages = [("a", '<body class="has-sidebar"><article><p>one'), ("b", '<html class="nav-open"><body><p>two</p></html>'), ("c", "<form action=x><div><h1>T</h1><p>three</p></div></form>"), ("d", '<div class="share layout"><article><p>four</p></article><p>side</p></div>'), ("e", '<article><p>five</p></article><section class="comments"><article><p>no</p></article></section>')]
+    pages += [("f", "<div><h1>T</h1><div>aaa</div><div>ccc</div><p>tail</p></div>"), ("g", '<form class="search"><p>q</p></form><div><p>six</p></div>')]
+    assert texts_of(spark, pages) == ["one", "two", "T\n\nthree", "four", "five", "T\n\naaa\n\nccc\n\ntail", "six"]
+    long = "w " * 2_500_000
+    rows = [(1, "http://l.example/", f"<p>{long}</p>", "own", "clash")]
+    out = html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, _host string, text string")).collect()[0]
+    assert (out.text, out.n_chars, out._host, out.asDict().keys()) == (long.strip(), len(long) - 1, "own", {"page_id": 0, "url": 0, "_host": 0, "text": 0, "n_chars": 0}.keys())
 
 
 def components(rows, k, num, den):
