@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns the same columns
 (the last: packed pieces). Columns a stage adds for itself never clash with those of docs.
-Null texts, null identifiers, repeated rows and empty tables go through as their operators say.
+Null texts, null identifiers, repeated rows, empty tables and texts of any length go through as
+their operators say; of tied near duplicates the least doc_id stays, and of rows that agree in
+doc_id and text one. Secrets that overlap are cut as one span.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ def _unwrapped(df: DataFrame, docs: DataFrame, *out: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail by themselves nor come from a rejected host."""
-    measured = document_measures(_wrapped(docs, "text", "source"), "text")
-    marks = written(measured.select("source", "base_failed"), "quality")
-    hosts = host_verdicts(marks, "source").where("host_rejected").select(F.col("_host"))
+    measured = document_measures(_wrapped(docs, "text", "source"), "text").select("_row", "text", "source", "base_failed")
+    measured = written(measured, "quality")
+    hosts = host_verdicts(measured, "source").where("host_rejected").select(F.col("_host"))
     good = measured.where("not base_failed")
     return _unwrapped(good.join(hosts, good["source"].eqNullSafe(hosts["_host"]), "left_anti"), docs, "text", "source")
 
