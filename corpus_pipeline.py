@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail by themselves nor come from a rejected host."""
     measured = document_measures(_wrapped(docs, "text", "source"), "text").select("_row", "text", "source", "base_failed")
     measured = written(measured, "quality")
-    hosts = host_verdicts(measured, "source").where("host_rejected").select(F.col("_host"))
+    hosts = written(host_verdicts(measured, "source").where("host_rejected").select("_host"), "hosts")  # its size is known then: texts don't move while it is small
     good = measured.where("not base_failed")
     return _unwrapped(good.join(hosts, good["source"].eqNullSafe(hosts["_host"]), "left_anti"), docs, "text", "source")
 
