@@ -20,6 +20,7 @@ class MatchBook:
         self.levels: dict[str, dict[int, OrderedDict]] = {"B": {}, "S": {}}
         self.heaps: dict[str, list[int]] = {"B": [], "S": []}
         self.orders: dict[int, tuple[str, int]] = {}
+        self.totals: dict[tuple[str, int], int] = {}
 
     def best(self, side: str) -> int | None:
         heap, sign = self.heaps[side], -1 if side == "B" else 1
@@ -33,6 +34,7 @@ class MatchBook:
             heapq.heappush(self.heaps[side], -price if side == "B" else price)
         self.levels[side][price][ref] = qty
         self.orders[ref] = side, price
+        self.totals[side, price] = self.totals.get((side, price), 0) + qty
 
     def reduce(self, ref: int, qty: int) -> int:
         """Take qty (or all that is left) from a resting order; what was taken."""
@@ -40,10 +42,11 @@ class MatchBook:
         queue = self.levels[side][price]
         taken = min(qty, queue[ref])
         queue[ref] -= taken
+        self.totals[side, price] -= taken
         if not queue[ref]:
             del queue[ref], self.orders[ref]
             if not queue:
-                del self.levels[side][price]
+                del self.levels[side][price], self.totals[side, price]
         return taken
 
     def submit(self, ref: int, side: str, limit: int, qty: int, ioc: bool):
@@ -59,7 +62,7 @@ class MatchBook:
                 break
             maker = next(iter(self.levels[other][price]))
             taken = self.reduce(maker, left)
-            fills.append((maker, other, price, taken))
+            fills.append((maker, other, price, taken, self.totals.get((other, price), 0)))
             left -= taken
         if not left:
             return "filled", qty, 0, 0, fills
@@ -70,14 +73,28 @@ class MatchBook:
 
 
 def fold(events: pd.DataFrame) -> pd.DataFrame:
-    """The result rows of one symbol's events in order of seq."""
+    """The rows of one symbol's events in order of seq, and its counters.
+
+    Each event gives its fills and a result. On the tape, a fill is an exec and the level after it;
+    what rests is the level and then the add; a cancel is followed by its level.
+    """
     book, halted, out = MatchBook(), False, []
+    counts = {"volume_matched": 0, "rejected_halted": 0, "unknown_ref": 0}
     for e in events.sort_values("seq").itertuples(index=False):
         seq, locate = int(e.seq), int(e.locate)
 
         def result(status, filled=0, resting=0, cancelled=0, fills=(), side=None, ref=None, limit=None, seq=seq, locate=locate):
-            for i, (maker, at, price, qty) in enumerate(fills):
+            step = 0
+            for i, (maker, at, price, qty, after) in enumerate(fills):
                 out.append((seq, locate, "fill", i, None, ref, maker, at, price, qty, None, None, None))
+                out.append((seq, locate, "exec", step, None, ref, maker, at, price, qty, None, None, None))
+                out.append((seq, locate, "level", step + 1, None, None, maker, at, price, after, None, None, None))
+                counts["volume_matched"] += qty
+                step += 2
+            if resting:
+                out.append((seq, locate, "level", step, None, None, None, side, limit, book.totals[side, limit], None, None, None))
+                out.append((seq, locate, "add", step + 1, None, ref, None, side, limit, resting, None, None, None))
+            counts["rejected_halted"] += status == "rejected_halted"
             out.append((seq, locate, "result", len(fills), status, ref, None, side, limit, None, filled, resting, cancelled))
 
         if e.kind == "state":
@@ -85,13 +102,18 @@ def fold(events: pd.DataFrame) -> pd.DataFrame:
         elif e.kind in ("cancel", "delete"):
             ref = int(e.ref)
             if ref not in book.orders:
+                counts["unknown_ref"] += 1
                 result("unknown", ref=ref)
             else:
+                at, price = book.orders[ref]
                 taken = book.reduce(ref, int(e.qty) if e.kind == "cancel" else 1 << 62)
+                out.append((seq, locate, "cancel", 0, None, ref, None, at, price, taken, None, None, None))
+                out.append((seq, locate, "level", 1, None, None, ref, at, price, book.totals.get((at, price), 0), None, None, None))
                 result("cancelled", cancelled=taken, ref=ref)
         elif e.kind == "replace":
             ref, new = int(e.ref), int(e.new_ref)
             if ref not in book.orders:
+                counts["unknown_ref"] += 1
                 result("rejected_invalid", ref=new)
                 continue
             side = book.orders[ref][0]
@@ -107,6 +129,7 @@ def fold(events: pd.DataFrame) -> pd.DataFrame:
     for side in ("B", "S"):
         for price, queue in book.levels[side].items():
             out += [(None, int(events["locate"].iloc[0]), "resting", i, None, ref, None, side, price, qty, None, None, None) for i, (ref, qty) in enumerate(queue.items())]
+    out += [(None, int(events["locate"].iloc[0]), "counter", 0, name, None, None, None, None, n, None, None, None) for name, n in counts.items()]
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype(object)
 
 
@@ -116,9 +139,25 @@ def match(events: DataFrame) -> DataFrame:
     kind: submit, cancel, delete, replace, state. A symbol's matching is one sequential fold, the
     only operator here whose task is bounded by a symbol rather than by a fixed size.
     """
+    return _folded(events).where(F.col("row").isin("fill", "result", "resting"))
+
+
+def _folded(events: DataFrame) -> DataFrame:
     return events.groupBy("locate").applyInPandas(fold, RESULT)
 
 
+def match_tape(events: DataFrame) -> DataFrame:
+    """(seq, step, event, locate, ref, maker, side, price, qty): what a listener hears while matching."""
+    return _folded(events).where(F.col("row").isin("exec", "level", "add", "cancel")).select("seq", "step", F.col("row").alias("event"), "locate", "ref", "maker", "side", "price", "qty")
+
+
+def match_counters(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """volume_matched, rejected_halted and unknown_ref of all symbols, or by `locate`."""
+    rows = _folded(events).where("row = 'counter'")
+    names = ("volume_matched", "rejected_halted", "unknown_ref")
+    return rows.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(F.when(F.col("status") == n, F.col("qty"))), F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def sweep(live: DataFrame, takers: DataFrame) -> DataFrame:
     """Fills of one taker per (locate, taker_side) against a frozen book: no fold is needed.
 

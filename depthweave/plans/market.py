@@ -22,7 +22,7 @@ def query(f):
 
 def _life(spark: SparkSession, sf_dir: str) -> tuple[Lifecycle, DataFrame]:
     """The derived feed has each reference born once and no empty orders, by construction."""
-    feed = derived_feed(spark, sf_dir)
+    feed = cut(derived_feed(spark, sf_dir), "feed")  # derived once, read by each of a query's parts
     return lifecycle(feed, careful=False), feed
 
 

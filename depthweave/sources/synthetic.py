@@ -1,9 +1,14 @@
-"""A seeded synthetic feed: hostile mixes for tests, written as rows or framed bytes."""
+"""A seeded synthetic feed for tests, written as rows or framed bytes.
+
+Each symbol's price walks by itself; the thicker a symbol's book, the less likely a message adds
+to it. A share of the reductions names orders that never were, or another symbol's.
+"""
 
 from __future__ import annotations
 
 import random
 import struct
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -15,36 +20,42 @@ SCHEMA = "seq long, type string, locate int, ref long, new_ref long, side string
 
 
 def hostile_rows(n: int, seed: int, locates: int = 4, reuse: bool = False) -> list[tuple]:
-    """Adds and reductions of live, unknown and foreign orders; with reuse, references come again."""
-    r = random.Random(seed)
-    mids = [10_000, 500_000, 2_000_000, 80]
-    live: dict[int, list[int]] = {k: [] for k in range(1, locates + 1)}
-    ref, rows = 0, []
+    """n messages; with reuse, references come again (live ones, too) and some orders have no shares."""
+    rng = random.Random(seed)
+    centre = {k: rng.randrange(200, 900_000) for k in range(1, locates + 1)}
+    known: dict[int, list[int]] = {k: [] for k in centre}
+    numbers, rows = count(1), []
+
+    def reference() -> int:
+        return rng.randrange(1, len(rows) + 2) if reuse and rng.random() < 0.12 else next(numbers)
 
-    def new() -> int:
-        nonlocal ref
-        ref += 1
-        return ref if not reuse or r.random() < 0.9 else r.randint(1, ref)
+    def size() -> int:
+        return 0 if reuse and rng.random() < 0.05 else 25 * rng.randrange(1, 40)
 
     for seq in range(n):
-        k = r.randint(1, locates)
-        mid = mids[(k - 1) % 4]
-        price = max(1, mid + (r.randint(-5, 5) if r.random() < 0.9 else r.randint(-mid // 2, mid * 2)))
-        shares = r.randint(0 if reuse else 1, 9) * 100 or (0 if r.random() < 0.3 else 50) if reuse else r.randint(1, 9) * 100
-        if r.random() < 0.45 or not live[k]:
-            x = new()
-            rows.append((seq, "A", k, x, None, r.choice("BS"), shares, price, None, None))
-            live[k].append(x)
+        k = rng.choice(list(centre))
+        centre[k] = max(50, centre[k] + rng.choice((-3, -1, 0, 1, 3)))
+        side = rng.choice("BS")
+        away = int(rng.expovariate(0.25)) - 1
+        price = max(1, centre[k] + (away if side == "S" else -away))
+        if rng.random() < 12 / (12 + len(known[k])):
+            ref = reference()
+            known[k].append(ref)
+            rows.append((seq, "A", k, ref, None, side, size(), price, None, None))
             continue
-        x = r.choice(live[k]) if r.random() < 0.93 else 10**9 + seq
-        kind = r.choices("ECXDU", [30, 15, 15, 20, 15])[0]
-        at = r.randint(1, locates) if r.random() < 0.05 else k
+        luck = rng.random()
+        owner = k if luck < 0.94 else rng.choice(list(centre))
+        ref = 10**9 + seq if luck > 0.97 or not known[owner] else rng.choice(known[owner][-25:])
+        kind = rng.choice("EECCXXDDU")
         if kind == "U":
-            y = new()
-            rows.append((seq, "U", at, x, y, None, shares, price, None, None))
-            live[at].append(y)
+            new = reference()
+            known[k].append(new)
+            rows.append((seq, kind, k, ref, new, None, size(), price, None, None))
+        elif kind == "D":
+            rows.append((seq, kind, k, ref, None, None, None, None, None, None))
+            known[owner] = [x for x in known[owner] if x != ref] or known[owner]
         else:
-            rows.append((seq, kind, at, x, None, None, None if kind == "D" else r.randint(1, 6) * 100, price if kind == "C" else None, r.random() < 0.7 if kind == "C" else None, None))
+            rows.append((seq, kind, k, ref, None, None, 25 * rng.randrange(1, 25), price if kind == "C" else None, rng.random() < 0.6 if kind == "C" else None, None))
     return rows
 
 

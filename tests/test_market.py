@@ -1,5 +1,6 @@
 """The market operators against small cases and a message-by-message fold."""
 
+import random
 import struct
 from pathlib import Path
 
@@ -229,3 +230,85 @@ def test_snapshots_cover_every_live_order(spark):
     got = sorted(map(tuple, registry.QUERIES["b16_all_order_snapshots"](spark, str(folder)).collect()))
     assert len({x[0] for x in got}) > 1
     assert got == sorted(con.execute(registry.SQL["b16_all_order_snapshots"]).fetchall())
+
+
+HEAD = struct.pack(">HH", 7, 513) + (34_200_000_000_000).to_bytes(6, "big")
+WIRE = [
+    (b"S" + HEAD + b"Q", {"type": "S", "code": "Q"}),
+    (b"R" + HEAD + b"ABC     " + b"QN" + struct.pack(">I", 100) + b"\0" * 14, {"type": "R", "stock": "ABC     ", "market_category": "Q", "financial_status": "N", "round_lot": 100}),
+    (b"H" + HEAD + b"ABC     " + b"H" + b"\0" + b"T12 ", {"type": "H", "stock": "ABC     ", "code": "H", "reason": "T12 "}),
+    (b"A" + HEAD + struct.pack(">Q", 2**40 + 3) + b"B" + struct.pack(">I", 300) + b"ABC     " + struct.pack(">I", 4_000_000_000), {"type": "A", "ref": 2**40 + 3, "side": "B", "shares": 300, "price": 4_000_000_000}),
+    (b"F" + HEAD + struct.pack(">Q", 5) + b"S" + struct.pack(">I", 1) + b"ABC     " + struct.pack(">I", 2) + b"MPID", {"type": "F", "ref": 5, "side": "S", "shares": 1, "price": 2, "mpid": "MPID"}),
+    (b"E" + HEAD + struct.pack(">QIQ", 9, 40, 77), {"type": "E", "ref": 9, "shares": 40, "match": 77}),
+    (b"C" + HEAD + struct.pack(">QIQ", 9, 40, 78) + b"N" + struct.pack(">I", 10_005), {"type": "C", "ref": 9, "shares": 40, "match": 78, "printable": False, "price": 10_005}),
+    (b"X" + HEAD + struct.pack(">QI", 9, 11), {"type": "X", "ref": 9, "shares": 11}),
+    (b"D" + HEAD + struct.pack(">Q", 9), {"type": "D", "ref": 9}),
+    (b"U" + HEAD + struct.pack(">QQII", 9, 10, 70, 10_020), {"type": "U", "ref": 9, "new_ref": 10, "shares": 70, "price": 10_020}),
+    (b"P" + HEAD + struct.pack(">Q", 0) + b"B" + struct.pack(">I", 500) + b"ABC     " + struct.pack(">IQ", 10_001, 79), {"type": "P", "shares": 500, "price": 10_001, "match": 79}),
+    (b"Q" + HEAD + struct.pack(">Q", 5_000_000_000) + b"ABC     " + struct.pack(">IQ", 10_002, 80) + b"O", {"type": "Q", "cross_shares": 5_000_000_000, "price": 10_002, "match": 80, "code": "O"}),
+]
+
+
+def test_decoding_equals_the_published_layout(spark):
+    """Bytes packed here field by field, not by our own encoder."""
+    bad = [b"z" + HEAD, WIRE[4][0][:-1], WIRE[3][0][:19] + b"?" + WIRE[3][0][20:]]
+    raw = spark.createDataFrame([(i, p, None) for i, p in enumerate([w for w, _ in WIRE] + bad)], "seq long, payload binary, end string")
+    rows = sorted(parse(raw).collect(), key=lambda r: r.seq)
+    for row, (_, want) in zip(rows, WIRE, strict=False):
+        assert (row.status, row.locate, row.tracking, row.ts_ns) == ("ok", 7, 513, 34_200_000_000_000)
+        assert {k: row[k] for k in want} == want
+    assert [r.status for r in rows[len(WIRE) :]] == ["unknown", "malformed", "malformed"]
+
+
+def test_matching_conserves_shares_and_never_crosses():
+    rng, rows, live = random.Random(11), [], []
+    for seq in range(3000):
+        luck = rng.random()
+        if luck < 0.7 or not live:
+            rows.append({"ref": seq, "side": rng.choice("BS"), "limit": 1000 + rng.randint(-6, 6), "qty": rng.randint(1, 90), "tif": rng.choice(["limit", "limit", "ioc"])})
+            live.append(seq)
+        else:
+            rows.append({"kind": "cancel", "ref": rng.choice(live), "qty": rng.randint(1, 60)})
+    out = matching.fold(submits(*rows))
+    of = {i: r for i, r in enumerate(rows)}
+    filled: dict = {}
+    for f in out[out.row == "fill"].itertuples():
+        taker, maker = of[f.ref], of[f.maker]
+        assert taker["side"] != maker["side"] and f.price == maker["limit"] and f.maker < f.ref
+        assert f.price <= taker["limit"] if taker["side"] == "B" else f.price >= taker["limit"]
+        for ref in (f.ref, f.maker):
+            filled[ref] = filled.get(ref, 0) + f.qty
+    gone: dict = {}
+    for r in out[out.row == "result"].itertuples():
+        gone[r.ref] = gone.get(r.ref, 0) + (r.cancelled or 0)
+    resting = {r.ref: r for r in out[out.row == "resting"].itertuples()}
+    for ref, row in of.items():
+        if "side" in row:
+            assert row["qty"] == filled.get(ref, 0) + gone.get(ref, 0) + (resting[ref].qty if ref in resting else 0)
+    bids, asks = ([r.price for r in resting.values() if r.side == x] for x in "BS")
+    assert bids and asks and max(bids) < min(asks)
+    counts = {r.status: r.qty for r in out[out.row == "counter"].itertuples()}
+    assert counts["volume_matched"] == sum(out[out.row == "fill"].qty) > 0 and counts["unknown_ref"] > 0
+    last: dict = {}
+    for r in out[out.row == "level"].itertuples():
+        last[r.side, r.price] = r.qty
+    sums: dict = {}
+    for r in resting.values():
+        sums[r.side, r.price] = sums.get((r.side, r.price), 0) + r.qty
+    assert {k: v for k, v in last.items() if v} == sums
+
+
+def test_what_rests_changes_its_level_before_it_is_added():
+    out = matching.fold(submits({"ref": 1, "side": "S", "limit": 10, "qty": 30}, {"ref": 2, "side": "B", "limit": 10, "qty": 50}, {"kind": "cancel", "ref": 2, "qty": 5}))
+    tape = [(r.seq, r.row, r.side, r.qty) for r in out.itertuples() if r.row in ("exec", "level", "add", "cancel")]
+    assert tape == [(0, "level", "S", 30), (0, "add", "S", 30), (1, "exec", "S", 30), (1, "level", "S", 0), (1, "level", "B", 20), (1, "add", "B", 20), (2, "cancel", "B", 5), (2, "level", "B", 15)]
+
+
+def test_resumed_counters_books_and_phase(spark, tmp_path):
+    feed = spark.createDataFrame(hostile_rows(600, 3, reuse=True), SCHEMA)
+    system = spark.createDataFrame([(100, "Q"), (500, "M")], "seq long, code string")
+    state.save_state(feed, 300, str(tmp_path), system)
+    assert spark.read.parquet(f"{tmp_path}/meta").first()["phase"] == "open" and state.resumed_phase(spark, str(tmp_path), system, 600) == "closed"
+    whole = counters.counters(lifecycle(feed), feed).first()
+    assert state.resumed_counters(spark, str(tmp_path), feed).first() == whole and whole["duplicate_ref"] > 0
+    assert {r.locate for r in state.resumed_books(spark, str(tmp_path), feed).collect()} == {1, 2, 3, 4}
