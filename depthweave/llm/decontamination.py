@@ -10,7 +10,9 @@ A benchmark of at most `limit` bytes (measured) is sent to all tasks as an index
 is joined by fingerprint, then pairs of document and item are extended row by row.
 
 Null or wordless texts have no words and no hits; nulls among identifiers are kept as they are;
-repeated documents get a row each; items with equal identifiers count once; an empty benchmark
+repeated documents get a row each; columns of docs with the names of results are replaced; of tied
+hashes all are kept, and their meetings are paired a bounded number at a time, so texts of any
+length and of one repeated word go through whole; items with equal identifiers count once; an empty benchmark
 leaves every document clean.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .words import alnum_table, doc_of, grams, pieces, split
 
 SPAN, K = 13, 7
+PAIRS = 1 << 20
 _TABLE = alnum_table()
 _FAR = np.uint64(2**64 - 1)
 
@@ -87,6 +90,20 @@ def _meetings(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
+def _lines(at: np.ndarray, keys: np.ndarray, text: np.ndarray, index: Index) -> np.ndarray:
+    """The distinct (text, item, diagonal) on which fingerprints meet, at most PAIRS pairs at a time."""
+    n = np.searchsorted(index.keys, keys, "right") - np.searchsorted(index.keys, keys, "left")
+    part, out = np.cumsum(n) // PAIRS, [np.zeros((0, 3), np.int64)]
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+        i, j = _meetings(index.keys, keys[some])
+        p = at[some[i]]
+        met = np.stack([text[p], index.item[j], p - index.at[j]], 1)
+        if len(met):
+            met = met[np.lexsort(met.T)]
+            out.append(met[np.concatenate([[True], (met[1:] != met[:-1]).any(axis=1)])])
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def hits(h: np.ndarray, ptr: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hit runs in the texts: text, first word (within all words), end, item."""
     found: list[tuple[int, int, int, int]] = []
@@ -96,10 +113,7 @@ def hits(h: np.ndarray, ptr: np.ndarray, index: Index) -> tuple[np.ndarray, np.n
         near = np.searchsorted(index.keys, keys)
         near[near == len(index.keys)] = 0
         keep = np.flatnonzero(index.keys[near] == keys)
-        i, j = _meetings(index.keys, keys[keep])
-        p, q, item = at[keep[i]], index.at[j], index.item[j]
-        lines = np.unique(np.stack([text[p], item, p - q], 1), axis=0) if len(p) else np.zeros((0, 3), np.int64)
-        for d, it, diagonal in lines.tolist():
+        for d, it, diagonal in _lines(at[keep], keys[keep], text, index).tolist():
             lo, hi = max(int(ptr[d]), int(index.ptr[it]) + diagonal), min(int(ptr[d + 1]), int(index.ptr[it + 1]) + diagonal)
             same = np.concatenate([[0], (h[lo:hi] == index.h[lo - diagonal : hi - diagonal]).view(np.int8), [0]])
             turn = np.diff(same)
@@ -213,6 +227,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", limit:
 
     bench has item_id and text. `limit` bounds the bytes of benchmark text sent to every task.
     """
+    docs = docs.drop(*[c.split()[0] for c in _COUNTS.split(", ")])
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     if size > limit:
         return _with_join(docs, text, bench)

@@ -173,6 +173,25 @@ def test_decontamination_equals_brute_force(spark, docs, limit):
     assert any(g[1] for g in got)
 
 
+def test_decontamination_of_long_and_repetitive_texts(spark, monkeypatch):
+    """Meetings in bounded parts; a text of one word; columns named like the results."""
+    w = decontamination.split(pa.array([" ".join(["a"] * 300 + ["b"] * 20 + ["a"] * 40), "b " * 30]), decontamination._TABLE)
+    index = decontamination.build_index([1, 2], pa.array([" ".join(["a"] * 60), "b b b " * 5]))
+    whole = sorted(zip(*(x.tolist() for x in decontamination.hits(w.hashes, w.ptr, index)), strict=True))
+    monkeypatch.setattr(decontamination, "PAIRS", 50)
+    assert whole and sorted(zip(*(x.tolist() for x in decontamination.hits(w.hashes, w.ptr, index)), strict=True)) == whole
+    monkeypatch.undo()
+    long = " ".join(["word"] * 40_000)
+    r = random.Random(2)
+    varied = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(700_000))
+    rows = [(1, long, 7, "x"), (2, varied, 7, "x")]
+    assert len(varied) > 4 << 20
+    bench = spark.createDataFrame([(5, "word " * 100), (6, " ".join(varied.split()[650_000:650_040]))], "item_id long, text string")
+    out = {x.doc_id: x for x in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string, n_hit int, contaminated string"), bench).collect()}
+    assert (out[1].n_words, out[1].n_hit, out[1].n_items, out[1].contaminated) == (40_000, 40_000, 1, True)
+    assert (out[2].n_words, out[2].n_hit, out[2].item_ids, out[2].contaminated) == (700_000, 40, ["6"], False)
+
+
 def test_decontamination_without_rows(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminate(docs.select("doc_id", "text"), none).where("contaminated").count() == 0
