@@ -213,6 +213,34 @@ def test_sharding(docs, empty):
     assert sharding.shard_rows(empty, ["doc_id"], 5, 7).count() == 0
 
 
+def test_sharding_equals_plain_arithmetic(spark):
+    """The network on Python integers, over rows numbered by sorting."""
+    rows = [(None if i == 3 else i // 2, 10 + i % 3, f"t{i % 2}") for i in range(37)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, size long, text string"), ["doc_id", "size", "text"], 5, 7)
+    got = sorted(map(str, ((r.doc_id, r.size, r.text, r.shard, r.slot) for r in out.collect())))
+    wide = 2**64 - 1
+
+    def scramble(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor & wide
+        return x ^ (x >> 31)
+
+    n, bits = len(rows), 3  # 2 * 3 bits: the least even number that holds 37
+    keys = [scramble((7 + i * 0x9E3779B97F4A7C15) & wide) for i in range(1, sharding.ROUNDS + 1)]
+    want = []
+    for number, row in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))):
+        x = number
+        while True:
+            left, right = x >> bits, x & 7
+            for k in keys:
+                left, right = right, left ^ (scramble((right + k) & wide) & 7)
+            x = (left << bits) | right
+            if x < n:
+                break
+        want.append(str((*row, x % 5, x // 5)))
+    assert got == sorted(want)
+
+
 def test_host_verdicts(spark):
     good = " ".join(f"w{i}" for i in range(20))
     rows = [(i, good if i % 4 or h != "bad" else "x", h) for h, k in (("a", 40), ("b", 40), ("c", 40)) for i in range(k)] + [(i, "x" if i % 4 else good, "bad") for i in range(40)] + [(1, "x", "tiny"), (2, good, None), (3, None, None)]
