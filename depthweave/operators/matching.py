@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 RESULT = "seq long, locate int, row string, step int, status string, ref long, maker long, side string, price long, qty long, filled long, resting long, cancelled long"
 
 
@@ -72,78 +74,86 @@ class MatchBook:
         return ("partial_rested" if fills else "rested"), qty - left, left, 0, fills
 
 
-def fold(events: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one symbol's events in order of seq, and its counters.
+class MatchFold:
+    """One symbol's events in order of seq, as dicts, to rows of RESULT.
 
     Each event gives its fills and a result. On the tape, a fill is an exec and the level after it;
-    what rests is the level and then the add; a cancel is followed by its level.
+    what rests is the level and then the add; a cancel is followed by its level. The end gives what
+    still rests and the counters.
     """
-    book, halted, out = MatchBook(), False, []
-    counts = {"volume_matched": 0, "rejected_halted": 0, "unknown_ref": 0}
-    for e in events.sort_values("seq").itertuples(index=False):
-        seq, locate = int(e.seq), int(e.locate)
-
-        def result(status, filled=0, resting=0, cancelled=0, fills=(), side=None, ref=None, limit=None, seq=seq, locate=locate):
-            step = 0
-            for i, (maker, at, price, qty, after) in enumerate(fills):
-                out.append((seq, locate, "fill", i, None, ref, maker, at, price, qty, None, None, None))
-                out.append((seq, locate, "exec", step, None, ref, maker, at, price, qty, None, None, None))
-                out.append((seq, locate, "level", step + 1, None, None, maker, at, price, after, None, None, None))
-                counts["volume_matched"] += qty
-                step += 2
-            if resting:
-                out.append((seq, locate, "level", step, None, None, None, side, limit, book.totals[side, limit], None, None, None))
-                out.append((seq, locate, "add", step + 1, None, ref, None, side, limit, resting, None, None, None))
-            counts["rejected_halted"] += status == "rejected_halted"
-            out.append((seq, locate, "result", len(fills), status, ref, None, side, limit, None, filled, resting, cancelled))
-
-        if e.kind == "state":
-            halted = e.code in ("H", "P")
-        elif e.kind in ("cancel", "delete"):
-            ref = int(e.ref)
-            if ref not in book.orders:
-                counts["unknown_ref"] += 1
-                result("unknown", ref=ref)
-            else:
-                at, price = book.orders[ref]
-                taken = book.reduce(ref, int(e.qty) if e.kind == "cancel" else 1 << 62)
-                out.append((seq, locate, "cancel", 0, None, ref, None, at, price, taken, None, None, None))
-                out.append((seq, locate, "level", 1, None, None, ref, at, price, book.totals.get((at, price), 0), None, None, None))
-                result("cancelled", cancelled=taken, ref=ref)
-        elif e.kind == "replace":
-            ref, new = int(e.ref), int(e.new_ref)
-            if ref not in book.orders:
-                counts["unknown_ref"] += 1
-                result("rejected_invalid", ref=new)
-                continue
-            side = book.orders[ref][0]
-            book.reduce(ref, 1 << 62)  # the old order is gone whatever becomes of the new one
-            if halted:
-                result("rejected_halted", ref=new, side=side, limit=int(e.limit))
-            else:
-                result(*book.submit(new, side, int(e.limit), int(e.qty), e.tif == "ioc"), side=side, ref=new, limit=int(e.limit))
-        elif halted:
-            result("rejected_halted", ref=int(e.ref), side=e.side, limit=int(e.limit))
-        else:
-            result(*book.submit(int(e.ref), e.side, int(e.limit), int(e.qty), e.tif == "ioc"), side=e.side, ref=int(e.ref), limit=int(e.limit))
-    for side in ("B", "S"):
-        for price, queue in book.levels[side].items():
-            out += [(None, int(events["locate"].iloc[0]), "resting", i, None, ref, None, side, price, qty, None, None, None) for i, (ref, qty) in enumerate(queue.items())]
-    out += [(None, int(events["locate"].iloc[0]), "counter", 0, name, None, None, None, None, n, None, None, None) for name, n in counts.items()]
+
+    def __init__(self, locate: int):
+        self.locate, self.book, self.halted = locate, MatchBook(), False
+        self.counts = {"volume_matched": 0, "rejected_halted": 0, "unknown_ref": 0}
+
+    def _row(self, seq, row, step, status=None, ref=None, maker=None, side=None, price=None, qty=None, filled=None, resting=None, cancelled=None) -> tuple:
+        return seq, self.locate, row, step, status, ref, maker, side, price, qty, filled, resting, cancelled
+
+    def _result(self, seq, ref, status, filled=0, resting=0, cancelled=0, fills=(), side=None, limit=None) -> list[tuple]:
+        out, step = [], 0
+        for i, (maker, at, price, qty, after) in enumerate(fills):
+            out.append(self._row(seq, "fill", i, None, ref, maker, at, price, qty))
+            out.append(self._row(seq, "exec", step, None, ref, maker, at, price, qty))
+            out.append(self._row(seq, "level", step + 1, None, None, maker, at, price, after))
+            self.counts["volume_matched"] += qty
+            step += 2
+        if resting:
+            out.append(self._row(seq, "level", step, None, None, None, side, limit, self.book.totals[side, limit]))
+            out.append(self._row(seq, "add", step + 1, None, ref, None, side, limit, resting))
+        self.counts["rejected_halted"] += status == "rejected_halted"
+        return [*out, self._row(seq, "result", len(fills), status, ref, None, side, limit, None, filled, resting, cancelled)]
+
+    def _taken(self, seq: int, ref: int, most: int) -> list[tuple]:
+        """A cancel of at most so many shares, or a delete."""
+        at, price = self.book.orders[ref]
+        taken = self.book.reduce(ref, most)
+        left = self.book.totals.get((at, price), 0)
+        tape = [self._row(seq, "cancel", 0, None, ref, None, at, price, taken), self._row(seq, "level", 1, None, None, ref, at, price, left)]
+        return tape + self._result(seq, ref, "cancelled", cancelled=taken)
+
+    def step(self, e: dict) -> list[tuple]:
+        kind, seq, ref = e["kind"], e["seq"], e["ref"]
+        if kind == "state":
+            self.halted = e["code"] in ("H", "P")
+            return []
+        if kind != "submit" and ref not in self.book.orders:
+            self.counts["unknown_ref"] += 1
+            return self._result(seq, e["new_ref"], "rejected_invalid") if kind == "replace" else self._result(seq, ref, "unknown")
+        if kind in ("cancel", "delete"):
+            return self._taken(seq, ref, e["qty"] if kind == "cancel" else 1 << 62)
+        side, taker, limit = e["side"], ref, e["limit"]
+        if kind == "replace":
+            side, taker = self.book.orders[ref][0], e["new_ref"]
+            self.book.reduce(ref, 1 << 62)  # the old order is gone whatever becomes of the new one
+        if self.halted:
+            return self._result(seq, taker, "rejected_halted", side=side, limit=limit)
+        return self._result(seq, taker, *self.book.submit(taker, side, limit, e["qty"], e["tif"] == "ioc"), side=side, limit=limit)
+
+    def end(self) -> list[tuple]:
+        queues = [(side, price, queue) for side in ("B", "S") for price, queue in self.book.levels[side].items()]
+        rest = [self._row(None, "resting", i, None, ref, None, side, price, qty) for side, price, queue in queues for i, (ref, qty) in enumerate(queue.items())]
+        return rest + [self._row(None, "counter", 0, name, qty=n) for name, n in self.counts.items()]
+
+
+def fold(events: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one symbol's events, without Spark."""
+    rows = events.sort_values("seq").to_dict("records")
+    own = MatchFold(rows[0]["locate"])
+    out = [r for e in rows for r in own.step(e)] + own.end()
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype(object)
 
 
 def match(events: DataFrame) -> DataFrame:
     """Fills, results and final resting orders of (seq, kind, locate, ref, new_ref, side, limit, qty, tif, code).
 
-    kind: submit, cancel, delete, replace, state. A symbol's matching is one sequential fold, the
-    only operator here whose task is bounded by a symbol rather than by a fixed size.
+    kind: submit, cancel, delete, replace, state. A symbol's matching is one sequential fold; its
+    task holds the symbol's resting orders, not its events.
     """
     return _folded(events).where(F.col("row").isin("fill", "result", "resting"))
 
 
 def _folded(events: DataFrame) -> DataFrame:
-    return events.groupBy("locate").applyInPandas(fold, RESULT)
+    return ordered_fold(events, "locate", ["seq"], MatchFold, RESULT)
 
 
 def match_tape(events: DataFrame) -> DataFrame:

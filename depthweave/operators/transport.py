@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
-from collections import deque
 
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.wire import be, chars, to_be
+from .folds import ordered_fold
 
 HEADER, END_OF_SESSION, MOST_REQUESTED, REQUEST_EVERY = 20, 0xFFFF, 0xFFFE, 256
 SPREAD = 4096  # message numbers a range of the overlap join
@@ -148,101 +150,144 @@ def lookup(sent: DataFrame, requests: DataFrame, last: int | None = None) -> Dat
 
 
 class Arbiter:
-    """One receiver's arbitration: state that packets change in order of arrival."""
+    """One receiver's view of a stream: which blocks of which packet go through, and when.
+
+    It sees headers only. `tag` is whatever names a packet to the caller.
+    """
 
     def __init__(self, most_held: int = 1024):
-        self.most_held, self.next, self.held = most_held, None, {}
-        self.open, self.since, self.eos = False, 0, None
+        self.most_held, self.next, self.eos, self.complete = most_held, None, None, False
+        self.waiting: dict[int, tuple] = {}  # first number -> (tag, count, good, whole)
+        self.order: list[int] = []  # a heap of the numbers in `waiting`
+        self.quiet: int | None = None  # packets ahead since the last request, None without a hole
         self.n = dict.fromkeys(("packets", "applied", "duplicates", "overlaps", "gaps", "requests", "dropped", "malformed"), 0)
-        self.complete = False
-
-    def _gap(self, ahead: int):
-        """A hole before `ahead`: the re-request it is time for, if any."""
-        fresh = not self.open
-        if fresh:
-            self.n["gaps"] += 1
-            self.since = 0
-        else:
-            self.since += 1
-        self.open = True
-        if fresh or self.since >= REQUEST_EVERY:
-            self.since = 0
-            self.n["requests"] += 1
-            return self.next, min(ahead - self.next, MOST_REQUESTED)
-        return None
-
-    def _apply(self, seq: int, count: int, payload: bytes) -> list[tuple[int, bytes]]:
-        if seq + count <= self.next:
-            self.n["duplicates"] += 1
-            return []
-        skip = self.next - seq
+
+    def _ahead(self, first: int) -> tuple[int, int] | None:
+        """The request for the hole before `first`, if it is time for one."""
+        self.n["gaps"] += self.quiet is None
+        self.quiet = REQUEST_EVERY if self.quiet is None else self.quiet + 1
+        if self.quiet < REQUEST_EVERY:
+            return None
+        self.quiet = 0
+        self.n["requests"] += 1
+        return self.next, min(first - self.next, MOST_REQUESTED)
+
+    def _through(self, first: int, tag, count: int, good: int, whole: bool) -> tuple:
+        """(tag, first, from, to): the blocks of a packet that starts at the next number or before."""
+        skip = self.next - first
         self.n["overlaps"] += skip > 0
-        blocks, ok = walk_blocks(payload, count)
-        fresh = [(seq + i, x) for i, x in enumerate(blocks) if i >= skip]
-        self.n["applied"] += len(fresh)
-        if ok:
-            self.next, self.open = seq + count, False
+        self.n["applied"] += max(0, good - skip)
+        if whole:
+            self.next, self.quiet = first + count, None
         else:
             self.n["malformed"] += 1
-            self.next = max(self.next, seq + len(blocks))  # never backwards
-        return fresh
+            self.next = max(self.next, first + good)  # never backwards
+        return tag, first, skip, good
 
-    def packet(self, p: bytes) -> tuple[list[tuple[int, bytes]], tuple[int, int] | None]:
-        """Messages that the packet lets through, and the re-request it causes."""
-        if len(p) < HEADER:
+    def offer(self, tag, first: int | None, count: int, good: int, whole: bool) -> tuple[list[tuple], tuple[int, int] | None]:
+        """Blocks that a packet lets through, its own and held ones, and the request it causes.
+
+        first: None for a packet without a header; good: its blocks before the first bad one;
+        whole: whether `count` blocks fill it.
+        """
+        if first is None:
             self.n["malformed"] += 1
             return [], None
         self.n["packets"] += 1
-        seq, count = struct.unpack_from(">QH", p, 10)
-        if self.next is None:
-            self.next = seq
-        out, ask = [], None
+        self.next = first if self.next is None else self.next
+        ask, out = None, []
         if count == END_OF_SESSION:
-            self.eos = seq
-        elif count == 0:
-            if seq > self.next:
-                ask = self._gap(seq)
-        elif seq > self.next:
-            if len(self.held) < self.most_held:
-                self.held.setdefault(seq, (count, p[HEADER:]))
-            else:
+            self.eos = first
+        elif first > self.next:
+            if count and len(self.waiting) >= self.most_held:
                 self.n["dropped"] += 1
-            return [], self._gap(seq)
-        else:
-            out = self._apply(seq, count, p[HEADER:])
-            for first in deque(sorted(self.held)):
-                n, payload = self.held[first]
-                if first + n <= self.next:
-                    del self.held[first]
-                elif first <= self.next:
-                    out += self._apply(first, n, payload)
-                    del self.held[first]
-                else:
-                    break
-        self.complete |= self.eos is not None and self.next >= self.eos
+            elif count and first not in self.waiting:
+                self.waiting[first] = tag, count, good, whole
+                heapq.heappush(self.order, first)
+            ask = self._ahead(first)
+        elif count and first + count <= self.next:
+            self.n["duplicates"] += 1
+        elif count:
+            out.append(self._through(first, tag, count, good, whole))
+        while self.order and self.order[0] <= self.next:
+            at = heapq.heappop(self.order)
+            item = self.waiting.pop(at)
+            if at + item[1] > self.next:
+                out.append(self._through(at, *item))
+        self.complete = self.complete or (self.eos is not None and self.next >= self.eos)
         return out, ask
 
+    def packet(self, p: bytes) -> tuple[list[tuple[int, bytes]], tuple[int, int] | None]:
+        """Messages that the packet lets through, and the request it causes."""
+        if len(p) < HEADER:
+            return self.offer(None, None, 0, 0, False)
+        first, count = struct.unpack_from(">QH", p, 10)
+        blocks, whole = ([], True) if count == END_OF_SESSION else walk_blocks(p[HEADER:], count)
+        out, ask = self.offer(blocks, first, count, len(blocks), whole)
+        return [(at + i, own[i]) for own, at, skip, good in out for i in range(skip, good)], ask
+
+    def counters(self) -> dict[str, int]:
+        return {k: int(v) for k, v in {**self.n, "next_seq": self.next or 0, "complete": self.complete}.items()}
+
 
 ARBITRATED = "stream string, row string, arrival long, msg_seq long, count long, payload binary, counters map<string,long>"
+_HEADS = "id long, stream string, arrival long, first long, count long, good long, whole boolean"
+_VERDICTS = "stream string, row string, arrival long, msg_seq long, count long, id long, skip long, counters map<string,long>"
+
+
+class _Heads:
+    """The fold of one stream's headers."""
+
+    def __init__(self, stream: str, most_held: int):
+        self.stream, self.arbiter = stream, Arbiter(most_held)
+
+    def step(self, r: dict) -> list[tuple]:
+        out, ask = self.arbiter.offer(r["id"], r["first"], r["count"] or 0, r["good"] or 0, bool(r["whole"]))
+        rows = [(self.stream, "message", r["arrival"], first, good, tag, skip, None) for tag, first, skip, good in out if good > skip]
+        return rows + ([(self.stream, "request", r["arrival"], *ask, None, None, None)] if ask else [])
+
+    def end(self) -> list[tuple]:
+        return [(self.stream, "counters", None, None, None, None, None, self.arbiter.counters())]
+
+
+def _head_rows(batches):
+    """Packets without their payloads."""
+    for b in batches:
+        rows = []
+        for p in b.column("packet").to_pylist():
+            if p is None or len(p) < HEADER:
+                rows.append((None, None, None, None))
+                continue
+            first, count = struct.unpack_from(">QH", p, 10)
+            blocks, whole = ([], True) if count == END_OF_SESSION else walk_blocks(p[HEADER:], count)
+            rows.append((first, count, len(blocks), whole))
+        parts = [pa.array([r[i] for r in rows], pa.bool_() if i == 3 else pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("stream"), b.column("arrival"), *parts], names=[c.split()[0] for c in _HEADS.split(", ")])
 
 
 def arbitrate(packets: DataFrame, most_held: int = 1024) -> DataFrame:
     """Messages, re-requests and a last row of counters for each stream of packets.
 
-    packets: stream, arrival, packet. The counters depend on arrival order, so a stream is a fold;
-    what is applied does not, and `applied` gets it without one.
+    packets: stream, arrival, packet. The counters depend on arrival order, so a stream is a fold,
+    of headers only; payloads are joined to the blocks that went through by the packet's number,
+    so a busy stream sends no payload to one task.
     """
+    own = cut(packets.select("stream", "arrival", "packet").withColumn("id", F.monotonically_increasing_id()), "packets")
+    heads = own.select("id", "stream", "arrival", "packet").mapInArrow(_head_rows, _HEADS)
+    verdicts = cut(ordered_fold(heads, "stream", ["arrival", "id"], lambda s: _Heads(s, most_held), _VERDICTS), "verdicts")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, rows = Arbiter(most_held), []
-        stream = group["stream"].iloc[0]
-        for at, p in group.sort_values("arrival")[["arrival", "packet"]].itertuples(index=False):
-            got, ask = a.packet(p)
-            rows += [(stream, "message", at, seq, 1, x, None) for seq, x in got]
-            if ask:
-                rows.append((stream, "request", at, ask[0], ask[1], None, None))
-        end = {**a.n, "next_seq": a.next if a.next is not None else 0, "complete": int(a.complete)}
-        rows.append((stream, "counters", None, None, None, None, {k: int(v) for k, v in end.items()}))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ARBITRATED.split(", ")]).astype(object)
-
-    return packets.groupBy("stream").applyInPandas(run, ARBITRATED)
+    def blocks(batches):
+        for b in batches:
+            rows = []
+            for i, (p, first, skip, good) in enumerate(zip(*[b.column(c).to_pylist() for c in ("packet", "msg_seq", "skip", "count")], strict=True)):
+                rows += [(i, first + k, x) for k, x in enumerate(walk_blocks(p[HEADER:], good)[0]) if k >= skip]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            n, numbers, payloads = len(rows), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("stream").take(at), pa.array(["message"] * n, pa.string()), b.column("arrival").take(at), numbers, pa.array([1] * n, pa.int64()), payloads, pa.nulls(n, pa.map_(pa.string(), pa.int64()))],
+                names=[c.split()[0] for c in ARBITRATED.split(", ")],
+            )
+
+    through = verdicts.where("row = 'message'").select("id", "stream", "arrival", "msg_seq", "skip", "count").join(own.select("id", "packet"), "id").mapInArrow(blocks, ARBITRATED)
+    rest = verdicts.where("row <> 'message'").select("stream", "row", "arrival", "msg_seq", "count", F.lit(None).cast("binary").alias("payload"), "counters")
+    return through.unionByName(rest)

@@ -17,13 +17,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LEVELS = "seq long, locate int, side string, price long, qty_after long, outcome string"
 
 
-def _step(live: dict, m, out: list) -> None:
-    """Apply one message to a symbol's live orders {ref: [side, price, remaining]}."""
+def _step(live: dict, totals: dict, m, out: list) -> None:
+    """Apply one message to a symbol's live orders {ref: [side, price, remaining]} and level totals."""
     seq, locate, kind, ref = int(m.seq), int(m.locate), m.type, str(int(m.ref))
 
-    def level(side, price, outcome):
-        qty = sum(o[2] for o in live.values() if o[0] == side and o[1] == price)
-        out.append((seq, locate, side, price, qty, outcome))
+    def level(side, price, change, outcome):
+        totals[side, price] = totals.get((side, price), 0) + change
+        out.append((seq, locate, side, price, totals[side, price], outcome))
 
     def missed(outcome):
         out.append((seq, locate, None, None, None, outcome))
@@ -33,7 +33,7 @@ def _step(live: dict, m, out: list) -> None:
             missed("duplicate")
         else:
             live[ref] = [m.side, int(m.price), int(m.shares)]
-            level(m.side, int(m.price), "add")
+            level(m.side, int(m.price), int(m.shares), "add")
         return
     own = live.get(ref)
     if own is None:
@@ -49,18 +49,21 @@ def _step(live: dict, m, out: list) -> None:
         del live[ref]
     else:
         own[2] = left - taken
-    level(side, price, "clamped" if clamped else "applied")
+    level(side, price, -taken, "clamped" if clamped else "applied")
     if kind == "U":
         live[str(int(m.new_ref))] = [side, int(m.price), int(m.shares)]
-        level(side, int(m.price), "add")
+        level(side, int(m.price), int(m.shares), "add")
 
 
 def fold_batch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     live = json.loads(state.get[0]) if state.exists else {}
+    totals: dict = {}
+    for side, price, left in live.values():
+        totals[side, price] = totals.get((side, price), 0) + left
     rows = pd.concat(list(batches)).sort_values("seq")
     out: list = []
     for m in rows.itertuples(index=False):
-        _step(live, m, out)
+        _step(live, totals, m, out)
     if live:
         state.update((json.dumps(live),))
     elif state.exists:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthweave.functions.wire import SIZES, decode
-from depthweave.operators import audit, counters, histogram, levels, matching, state, transport
+from depthweave.operators import audit, counters, histogram, l1, levels, matching, state, transport
 from depthweave.operators.lifecycle import as_of, fold_locate, hostile_locates, lifecycle, live_now
 from depthweave.sources.feed import parse, parser_stats, read_frames, read_frames_anywhere, slice_until
 from depthweave.sources.packets import endpoint, is_multicast
@@ -312,3 +312,56 @@ def test_resumed_counters_books_and_phase(spark, tmp_path):
     whole = counters.counters(lifecycle(feed), feed).first()
     assert state.resumed_counters(spark, str(tmp_path), feed).first() == whole and whole["duplicate_ref"] > 0
     assert {r.locate for r in state.resumed_books(spark, str(tmp_path), feed).collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("span", [16, 1 << 18])
+def test_best_prices_equal_the_fold(spark, span):
+    """Best prices after each message, with ranges shorter and longer than most lives."""
+    rows = hostile_rows(700, 11)
+    feed = spark.createDataFrame(rows, SCHEMA)
+    life = lifecycle(feed)
+    lives = [(o.locate, o.side, o.price, o.birth_seq, o.death_seq) for o in life.orders.collect()]
+    got = {(r.seq, r.locate): (r.best_bid, r.best_ask) for r in l1.l1_tape(life, feed, span).collect()}
+    want = {}
+    for m in (dict(zip(KEYS, r, strict=True)) for r in rows):
+        if m["type"] in "AFECXDU":
+            at = lambda side, m=m: [p for loc, s, p, b, d in lives if loc == m["locate"] and s == side and b <= m["seq"] and (d is None or d > m["seq"])]
+            want[m["seq"], m["locate"]] = max(at("B"), default=None), min(at("S"), default=None)
+    assert got == want
+
+
+def test_arbitration_of_tables_equals_the_receiver(spark):
+    """The header fold with payloads joined back gives what one receiver gets packet by packet."""
+    rng = random.Random(5)
+    packets = []
+    for n in range(1, 160, 4):
+        for feed in (0, 1):
+            if rng.random() > 0.25:
+                packets.append((n + rng.randrange(12) + feed, packet(n, 4)))
+    packets += [(200, b"short"), (201, packet(164, 3, [b"x", b""])), (202, packet(170, 0)), (203, packet(400, 0xFFFF))]
+    rows = [("one", i, p) for i, (_, p) in enumerate(sorted(packets, key=lambda x: x[0]))] + [("two", 0, packet(9, 2))]
+    out = transport.arbitrate(spark.createDataFrame(rows, "stream string, arrival long, packet binary")).collect()
+    for stream in ("one", "two"):
+        a, asked, got = arbitrated(*[p for s, _, p in rows if s == stream])
+        mine = [r for r in out if r.stream == stream]
+        assert sorted((r.msg_seq, r.payload) for r in mine if r.row == "message") == sorted((n, x) for n, x in got)
+        assert sorted((r.msg_seq, r["count"]) for r in mine if r.row == "request") == sorted(asked)
+        assert [r.counters for r in mine if r.row == "counters"] == [a.counters()]
+
+
+def test_matching_in_batches_equals_the_fold(spark):
+    """References beyond 2^53 stay exact, and a symbol's events may come in many batches."""
+    rng, big = random.Random(3), 1 << 62
+    rows = [dict(seq=i, kind=rng.choice(["submit"] * 4 + ["cancel", "delete", "replace"]), locate=i % 2 + 1, ref=big + rng.randrange(60), new_ref=big + 100 + i, side=rng.choice("BS"), limit=100 + rng.randrange(5), qty=rng.randrange(1, 30), tif="limit", code=None) for i in range(400)]
+    schema = "seq long, kind string, locate int, ref long, new_ref long, side string, limit long, qty long, tif string, code string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(map(str, (tuple(r) for r in matching.match(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for locate in (1, 2):
+        own = matching.MatchFold(locate)
+        made = [x for r in rows if r["locate"] == locate for x in own.step(r)] + own.end()
+        want += [str(x) for x in made if x[2] in ("fill", "result", "resting")]
+    assert got == sorted(want)
