@@ -83,7 +83,7 @@ def resolve_chains(born: DataFrame) -> DataFrame:
 
 
 def _fast(feed: DataFrame) -> Lifecycle:
-    rows = _speculate(feed)
+    rows = cut(_speculate(feed), "fates")  # its shuffle and window run once for chains, orders and ops
     live_u = rows.where("type = 'U' and not born and rem > 0").select("locate", F.col("new_ref").alias("ref"), F.lit(True).alias("live"))
     born = rows.where("born").select("locate", "ref", "parent", "side").join(live_u, ["locate", "ref"], "left").withColumn("parent_live", F.coalesce("live", F.lit(False)))
     chains = resolve_chains(born).withColumnRenamed("side", "chain_side")
