@@ -9,7 +9,7 @@ shares (the `hostile` ones) go through an ordered fold, one locate at a time.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,6 +65,13 @@ def _speculate(feed: DataFrame) -> DataFrame:
     return rows.withColumn("removes", removes).withColumn("death_seq", F.max(F.when(F.col("removes"), F.col("seq"))).over(whole)).withColumn("taken", F.sum(F.when(~F.col("born"), F.col("applied")).otherwise(0)).over(whole))
 
 
+def _counted(links: DataFrame) -> tuple[DataFrame, int]:
+    """links written, and how many point further up: counted while they are written."""
+    seen = Observation()
+    out = cut(links.observe(seen, F.count_if(F.col("up").isNotNull()).alias("n")), "chain")
+    return out, seen.get.get("n", 0)  # nothing is observed where no row is left
+
+
 def resolve_chains(born: DataFrame) -> DataFrame:
     """(locate, ref, side, ok) of replacing orders; born: all births with parent_live.
 
@@ -73,12 +80,12 @@ def resolve_chains(born: DataFrame) -> DataFrame:
     links = born.where("parent is not null").select("locate", "ref", F.when(F.col("parent_live"), F.col("parent")).alias("up"), F.col("parent_live").alias("ok"))
     roots = born.where("parent is null").select("locate", F.col("ref").alias("up"), F.col("side").alias("root_side"))
     now = links.join(roots, ["locate", "up"], "left").select("locate", "ref", F.when(F.col("root_side").isNull(), F.col("up")).alias("up"), "ok", F.col("root_side").alias("side"))
-    now = cut(now, "chain")
-    while not now.where("up is not null").isEmpty():
+    now, unresolved = _counted(now)
+    while unresolved:
         far = now.select("locate", F.col("ref").alias("up"), F.col("up").alias("next"), F.col("ok").alias("next_ok"), F.col("side").alias("next_side"))
         step = now.where("up is not null").join(far, ["locate", "up"], "left")
         step = step.select("locate", "ref", F.when(F.coalesce("next_ok", F.lit(False)), F.col("next")).alias("up"), F.coalesce("next_ok", F.lit(False)).alias("ok"), F.col("next_side").alias("side"))
-        now = cut(now.where("up is null").unionByName(step.select(*now.columns)), "chain")
+        now, unresolved = _counted(now.where("up is null").unionByName(step.select(*now.columns)))
     return now.select("locate", "ref", F.when(F.col("ok"), F.col("side")).alias("side"), (F.col("ok") & F.col("side").isNotNull()).alias("ok"))
 
 

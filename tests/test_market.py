@@ -1,7 +1,10 @@
 """The market operators against small cases and a message-by-message fold."""
 
 import random
+import socket
 import struct
+import threading
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -11,8 +14,9 @@ from pyspark.sql import functions as F
 from depthweave.functions.wire import SIZES, decode
 from depthweave.operators import audit, counters, histogram, l1, levels, matching, state, transport
 from depthweave.operators.lifecycle import as_of, fold_locate, hostile_locates, lifecycle, live_now
-from depthweave.sources.feed import parse, parser_stats, read_frames, read_frames_anywhere, slice_until
-from depthweave.sources.packets import endpoint, is_multicast
+from depthweave.sources.feed import frames, parse, parser_stats, read_frames, read_frames_anywhere, slice_until
+from depthweave.sources.packets import UdpReader, bound, endpoint, is_multicast
+from depthweave.sources.receiver import receive_file
 from depthweave.sources.synthetic import SCHEMA, hostile_rows, write_framed
 
 KEYS = "seq type locate ref new_ref side shares price printable code".split()
@@ -365,3 +369,63 @@ def test_matching_in_batches_equals_the_fold(spark):
         made = [x for r in rows if r["locate"] == locate for x in own.step(r)] + own.end()
         want += [str(x) for x in made if x[2] in ("fill", "result", "resting")]
     assert got == sorted(want)
+
+
+def test_byte_ranges_equal_one_pass(spark, tmp_path):
+    """Ranges of any size give each message once, with unknown types, long messages and an early end mark."""
+    rng = random.Random(8)
+    sized = [(t, n) for t, n in SIZES.items()]
+    body = b""
+    for i in range(1500):
+        kind, n = rng.choice(sized) if rng.random() < 0.9 else ("z", rng.choice((3, 700, 5000)))
+        # bodies full of bytes that look like lengths and types
+        body += struct.pack(">H", n) + kind.encode() + bytes(rng.choice(b"\x00\x13\x24ADX") for _ in range(n - 1))
+    (tmp_path / "a.bin").write_bytes(body)
+    (tmp_path / "b.bin").write_bytes(body + bytes(2) + body)
+    (tmp_path / "c.bin").write_bytes(body[:-7])
+    want = [(p.name, o, None if x is None else bytes(x), e) for p in sorted(tmp_path.iterdir()) for o, x, e in frames(p.read_bytes())]
+    for split in (900, 4096, 1 << 20):
+        got = [(r.file.rpartition("/")[2], r.offset, None if r.payload is None else bytes(r.payload), r.end) for r in read_frames(spark, str(tmp_path), split).collect()]
+        assert sorted(got, key=lambda r: (r[0], r[1])) == want
+
+
+def test_logged_packets_come_again_and_a_receiver_heals_gaps(tmp_path):
+    at = ("127.0.0.1", 47_311)
+    reader, out = UdpReader(at, 0.3, str(tmp_path / "log")), socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    reader._bound()
+    for i in range(5):
+        out.sendto(b"p%d" % i, at)
+    rows, end = reader.read({"arrival": 0})
+    rows = list(rows)
+    assert [p for _, p in rows] == [b"p%d" % i for i in range(5)] and end == {"arrival": 5}
+    reader.socket.close()
+    again = UdpReader(at, 0.1, str(tmp_path / "log"))
+    assert list(again.readBetweenOffsets({"arrival": 0}, {"arrival": 5})) == rows
+    with pytest.raises(ValueError):
+        again.readBetweenOffsets({"arrival": 0}, {"arrival": 6})
+    again.commit({"arrival": 5})
+    assert not list((tmp_path / "log").iterdir())
+
+    feeds, rewinder = [("127.0.0.1", 47_312), ("127.0.0.1", 47_313)], bound(("127.0.0.1", 47_314))
+    rewinder.settimeout(10)
+
+    def answer():
+        ask, who = rewinder.recvfrom(100)
+        first, n = struct.unpack_from(">QH", ask, 10)
+        rewinder.sendto(packet(first, n), who)
+
+    def send():
+        time.sleep(0.5)  # until the receiver is bound
+        for n in (1, 3, 9, 11):
+            out.sendto(packet(n, 2), feeds[n % 4 // 2])
+        out.sendto(packet(13, 0xFFFF), feeds[0])
+
+    for f in (answer, send):
+        threading.Thread(target=f, daemon=True).start()
+    path = str(tmp_path / "session.bin")
+    n = receive_file(path, feeds, rewinder.getsockname(), "S", idle_seconds=5)
+    rewinder.close()
+    out.close()
+    assert (n["applied"], n["complete"], n["next_seq"]) == (12, 1, 13)
+    got = [(x, e) for _, x, e in frames(Path(path).read_bytes())]
+    assert got == [(b"m%d" % i, None) for i in range(1, 13)] + [(None, "mark")]
