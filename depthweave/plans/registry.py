@@ -1,6 +1,6 @@
 """All queries of the market-data operators, and their SQL."""
 
-from . import market, market_sql, sessions
+from . import folded_sql, market, market_sql, sessions
 
 QUERIES = market.QUERIES | sessions.QUERIES
-SQL = market_sql.SQL | sessions.SQL
+SQL = market_sql.SQL | folded_sql.SQL | sessions.SQL
