@@ -292,6 +292,66 @@ def test_tool_calls(spark):
     assert place[2, 1] < place[2, 0]
 
 
+def test_schemas_that_are_none_and_numbers_of_one_form():
+    check = tool_calls.violations
+    assert check({"x": 1}, {"required": None}) == ["$: required is no rule"]
+    assert check(3, {"minimum": "2"}) == ["$: minimum is no rule"] and check("a", {"pattern": "("}) == ["$: pattern is no rule"]
+    assert check(1, True) == [] and check(1, False) == ["$: not allowed"] and check(1, None) == ["$: schema is no rule"]
+    assert check({"x": 1}, {"properties": {"x": False}}) == ["$.x: not allowed"] and check([1], {"items": False}) == ["$[0]: not allowed"]
+    assert check(1, {"type": [None]}) == ["$: type is no rule"] and check(2, {"type": "integer", "minimum": 3}) == ["$: minimum"]
+    assert tool_calls.canonical(tool_calls.read_json('{"b": 1.0, "a": [1e2, 1.5, -0.0]}')) == '{"a":[100,1.5,0],"b":1}'
+    for bad in ('{"tool_call_id": "a", "content": NaN}', '{"tool_call_id": "a", "content": -Infinity}', '{"tool_call_id": "a", "content": 1e999}'):
+        assert tool_calls.parse("tool", bad) == ([], None, bad)
+
+
+def _linked_by_hand(messages: list[tuple]) -> dict[int, tuple]:
+    """(n_linked, n_duplicate, orphan, cyclic, order_turn, order_depth) of one conversation's (turn, calls, answers)."""
+    first = {}
+    for i, (_, calls, _) in sorted(enumerate(messages), key=lambda x: (x[1][0], x[0])):
+        for pos, (name, _) in enumerate(calls):
+            first.setdefault(name, (i, pos))
+    answered = {}
+    for i, (_, _, to) in enumerate(messages):
+        if to in first:
+            answered.setdefault(to, []).append(i)
+    behind: dict[int, set] = {}
+    for to, results in answered.items():
+        for r in results:
+            behind.setdefault(r, set()).add(first[to][0])
+    for i, (_, calls, _) in enumerate(messages):
+        for _, needs in calls:
+            for name in needs:
+                if name in first and first[name][0] != i:
+                    behind.setdefault(i, set()).update(answered.get(name, []))
+    done = {i: (m[0], 0) for i, m in enumerate(messages) if not behind.get(i)}
+    while ready := [i for i in range(len(messages)) if i not in done and behind[i] <= set(done)]:
+        done |= {i: (max(messages[i][0], *(done[b][0] for b in behind[i])), 1 + max(done[b][1] for b in behind[i])) for i in ready}
+    out = {}
+    for i, (turn, calls, to) in enumerate(messages):
+        own = [name for pos, (name, _) in enumerate(calls) if first[name] == (i, pos)]
+        out[i] = (sum(name in answered for name in own), len(calls) - len(own), to is not None and to not in first, i not in done, *done.get(i, (turn, 0)))
+    return out
+
+
+def test_tool_calls_equal_brute_force(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for conv in range(25):
+        messages = []
+        for turn in range(rng.randrange(1, 14)):
+            name = lambda: f"c{rng.randrange(7)}"
+            if rng.random() < 0.5:
+                calls = [(name(), sorted({name() for _ in range(rng.randrange(3))})) for _ in range(rng.randrange(1, 4))]
+                messages.append((turn, calls, None))
+                rows.append((conv, turn, "assistant", A(*[{"id": n, "name": "f", "depends_on": d} for n, d in calls]), "x"))
+            else:
+                messages.append((turn, [], name()))
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": messages[-1][2], "content": "long " * (300_000 if conv == 3 else 1)}), "x"))
+        want |= {(conv, messages[i][0]): v for i, v in _linked_by_hand(messages).items()}
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, line string")  # an extra column named as a result is
+    out = tool_calls.link_tools(df)
+    assert {(r.conv_id, r.turn): (r.n_linked, r.n_duplicate, r.orphan, r.cyclic, r.order_turn, r.order_depth) for r in out.collect()} == want
+
+
 def test_order_has_no_greatest_depth(spark, monkeypatch):
     """With rounds counted by range, a chain longer than the count would be cut."""
     monkeypatch.setattr(tool_calls, "range", lambda n: [0, 1], raising=False)
