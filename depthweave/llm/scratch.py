@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP = 16 << 20  # bytes of a row group: a task that writes whole texts holds one of these, not 128 MB
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +24,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back; the path stays in `df.scratch_path`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
