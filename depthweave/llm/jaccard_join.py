@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import discard, written
+from .tokens import forget
 from .words import blank_table, grams, mix, pieces, split
 
 _TABLE = blank_table(lower=True)
@@ -114,6 +115,7 @@ def _blocks(batches, k: int):
 
     rows has the identifier, the size of the set and the class of every document of the block.
     """
+    forget()  # a worker that tokenised before has some 130 MB of ids
     part, number, held, rows, size = TaskContext.get().partitionId(), 0, {}, [], 0
 
     def made():

@@ -13,6 +13,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 _WHOLE = re.compile(r" \s|\s |<\|")
 
@@ -84,6 +85,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Give back what encoders hold in this worker: workers outlive the stage that used them."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def default_path() -> str:
     import public_tokenizers
 
