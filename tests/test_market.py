@@ -485,3 +485,14 @@ def test_checkpoint_report_equals_a_book_kept_by_hand(spark):
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert _records_shuffled(spark) - before < 20 * len(rows)
     assert levels.checkpoint_depth(lifecycle(feed.limit(0)), feed.limit(0), 2, 2, 3).count() == 0
+
+
+def test_golden_lines_of_many_checkpoints(spark):
+    """1,000 orders that live on through 1,000 checkpoints: a header and two levels each, and no row for each order at each."""
+    feed = feed_of(spark, *[add(i + 1, "BS"[i % 2], 100, 90 + i % 2) for i in range(1000)])
+    before = _records_shuffled(spark)
+    got = [tuple(x) for x in levels.golden_lines(levels.checkpoint_depth(lifecycle(feed, careful=False), feed, 1, 5, 3)).select("messages", "part", "side", "line").collect()]
+    want = [(n, part, s, f"1 {s} {90 + j} {100 * ((n + 1 - j) // 2)} {(n + 1 - j) // 2}") for n, part in [*[(n, 0) for n in range(1, 1001)], (1000, 1)] for j, s in enumerate("BS") if n > j]
+    want += [(n, 0, "", f"checkpoint {n}") for n in range(1, 1001)] + [(1000, 1, "", "end 1000")]
+    assert sorted(got) == sorted(want)
+    assert _records_shuffled(spark) - before < 50_000
