@@ -2,9 +2,11 @@
 
 A message text may hold tool calls, as a JSON object with a list `tool_calls` of {id, name or
 function.name, arguments (object or JSON text), depends_on (identifiers, optional)}, or be a
-result: an object with `tool_call_id` (the role tool, or any). Calls and results of a
-conversation are hash-joined by identifier; arguments are checked against the tools' schemas;
-messages are ordered so that a call comes before its result and after the results it depends on,
+result: an object with `tool_call_id` (the role tool, or any). A message may also declare tools, as
+a JSON object with a list `tools` of {name or function.name, parameters (a JSON schema)}. Calls and
+results of a conversation are hash-joined by identifier; arguments are checked against the schemas
+of the tools that the conversation declares (of equal names the first by turn), else of the given
+table; messages are ordered so that a call comes before its result and after the results it depends on,
 else by turn; each message is serialised with sorted keys and no spare white space.
 
 The order is a pair: order_turn, the greatest turn among a message and all before it in the
@@ -17,7 +19,8 @@ own turn and are marked.
 Null or empty texts are messages without content; texts that aren't such JSON are plain content.
 A null conversation is one conversation; a null turn sorts first; of calls with equal identifiers
 the first by turn is linked and the others are marked duplicates; a result without a call is an
-orphan. Repeated rows give a row each; an empty table gives an empty result. A text that holds
+orphan. A tool that neither the conversation nor the table has is a violation, but where there is no
+schema at all nothing is checked, and n_checked is 0. Repeated rows give a row each; an empty table gives an empty result. A text that holds
 NaN, an infinity or a number beyond a double isn't JSON; whole numbers have one form (1.0 is 1).
 A text of any length is parsed whole; columns other than the four named are not read, so they may
 have any names.
@@ -38,8 +41,11 @@ from .scratch import discard, written
 from .words import pieces
 
 _MAYBE = re.compile(r"tool_call")
+_DECLARES = re.compile(r'"tools"')
 _CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("depends_on", pa.list_(pa.string()))])
 _CALL_SQL = "struct<id:string,name:string,arguments:string,depends_on:array<string>>"
+_TOOL = pa.struct([("name", pa.string()), ("schema", pa.string())])
+_TOOL_SQL = "struct<name:string,schema:string>"
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -170,32 +176,70 @@ def parse(role: str | None, text: str | None) -> tuple[list[dict], str | None, o
     return calls, None if answers is None else str(answers), "" if content is None else content
 
 
-def _parsed(df: DataFrame, conv: str, turn: str, role: str, text: str, schemas: dict) -> DataFrame:
-    """One row per message: its calls, what it answers, its broken schema rules, canonical JSON."""
+def declared(text: str | None) -> list[dict]:
+    """The tools that a message declares, with their schemas as JSON; without parameters, all are allowed."""
+    if not text or not _DECLARES.search(text):
+        return []
+    try:
+        value = read_json(text)
+    except (ValueError, RecursionError):
+        return []
+    given = value.get("tools") if isinstance(value, dict) else None
+    out = []
+    for c in given if isinstance(given, list) else []:
+        f = c.get("function") if isinstance(c, dict) else None
+        f = f if isinstance(f, dict) else c
+        if isinstance(f, dict) and isinstance(f.get("name"), str):
+            out.append({"name": f["name"], "schema": canonical(f.get("parameters", True))})
+    return out
+
+
+def checked(call: str, arguments: str, schema) -> list[str]:
+    """What of a call's arguments, as JSON, breaks its tool's schema."""
+    try:
+        return [f"{call}: {v}" for v in violations(json.loads(arguments), schema)]
+    except RecursionError:
+        return [f"{call}: too deep to check"]
+
+
+def _parsed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """One row per message: its calls, what it answers, the tools it declares, canonical JSON."""
 
     def run(batches):
         for b in pieces(batches, text):
             rows = [parse(r, t) for r, t in zip(b.column(role).to_pylist(), b.column(text).to_pylist(), strict=True)]
-            broken, lines = [], []
+            lines = []
             for r, (calls, answers, content) in zip(b.column(role).to_pylist(), rows, strict=True):
-                bad = []
-                for c in calls:
-                    if schemas and c["name"] not in schemas:
-                        bad.append(f"{c['id']}: unknown tool")
-                    elif schemas:
-                        bad += [f"{c['id']}: {v}" for v in violations(json.loads(c["arguments"]), schemas[c["name"]])]
-                broken.append(bad)
                 whole = {"role": r, "content": content}
                 if calls:
                     whole["tool_calls"] = [{"id": c["id"], "name": c["name"], "arguments": json.loads(c["arguments"])} | ({"depends_on": c["depends_on"]} if c["depends_on"] else {}) for c in calls]
                 if answers is not None:
                     whole["tool_call_id"] = answers
                 lines.append(canonical(whole))
-            cols = [b.column(conv), b.column(turn), b.column(role), pa.array([r[0] for r in rows], pa.list_(_CALL)), pa.array([r[1] for r in rows], pa.string()), pa.array(broken, pa.list_(pa.string())), pa.array(lines, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["conv", "turn", "role", "calls", "answers", "broken", "line"])
+            cols = [b.column(conv), b.column(turn), b.column(role), pa.array([r[0] for r in rows], pa.list_(_CALL)), pa.array([r[1] for r in rows], pa.string()), pa.array([declared(t) for t in b.column(text).to_pylist()], pa.list_(_TOOL)), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["conv", "turn", "role", "calls", "answers", "tools", "line"])
 
     types = dict(df.dtypes)
-    return df.select(conv, turn, role, text).mapInArrow(run, f"conv {types[conv]}, turn {types[turn]}, role {types[role]}, calls array<{_CALL_SQL}>, answers string, broken array<string>, line string")
+    return df.select(conv, turn, role, text).mapInArrow(run, f"conv {types[conv]}, turn {types[turn]}, role {types[role]}, calls array<{_CALL_SQL}>, answers string, tools array<{_TOOL_SQL}>, line string")
+
+
+def _checks(rows: DataFrame, calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """(uid, n_checked, broken): each call's arguments against its tool's schema."""
+    tools = rows.where(F.size("tools") > 0).select("uid", "conv", "turn", F.posexplode("tools").alias("pos", "t"))
+    first = F.min(F.struct(F.coalesce("turn", F.lit(-(2**31))).alias("t"), "uid", "pos", "t.schema"))
+    own = written(tools.groupBy("conv", F.col("t.name").alias("name")).agg(first.alias("f")).select("conv", "name", F.col("f.schema").alias("schema")), "tools")
+    told = own.select(F.col("conv").alias("_conv"), F.lit(True).alias("tells")).distinct()
+    own = own.select(F.col("conv").alias("_own"), F.col("name").alias("_name"), "schema")
+
+    @F.udf("array<string>")
+    def check(call, name, arguments, schema, tells):
+        if schema is None and name not in schemas:
+            return [f"{call}: unknown tool"] if tells or schemas else None
+        return checked(call, arguments, schemas[name] if schema is None else json.loads(schema))
+
+    j = calls.join(own, calls["conv"].eqNullSafe(F.col("_own")) & (calls["name"] == F.col("_name")), "left").join(told, calls["conv"].eqNullSafe(F.col("_conv")), "left")
+    j = j.select("uid", "pos", check("id", "name", "arguments", "schema", "tells").alias("bad")).where("bad is not null")
+    return j.groupBy("uid").agg(F.count("*").alias("n_checked"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bad"))), lambda x: x["bad"])).alias("broken"))
 
 
 def _ordered(edges: DataFrame, turns: DataFrame) -> DataFrame:
@@ -220,13 +264,14 @@ def _ordered(edges: DataFrame, turns: DataFrame) -> DataFrame:
 
 def link_tools(df: DataFrame, schemas: dict[str, dict] | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv, turn, role, order_turn, order_depth, n_calls, n_linked,
-    n_duplicate, answers, orphan, cyclic, valid, violations, line.
+    n_duplicate, answers, orphan, cyclic, n_checked, valid, violations, line.
 
-    schemas: by tool name, its JSON schema; a short table by nature, it goes to all tasks.
+    schemas: by tool name, its JSON schema, for tools that a conversation doesn't declare itself; a
+    short table by nature, it goes to all tasks. n_checked: calls held against a schema or the names.
     """
-    parsed = _parsed(df, conv, turn, role, text, dict(schemas or {})).withColumn("uid", F.monotonically_increasing_id())
+    parsed = _parsed(df, conv, turn, role, text).withColumn("uid", F.monotonically_increasing_id())
     rows = written(parsed, "messages")
-    calls = rows.where(F.size("calls") > 0).select("uid", "conv", "turn", F.posexplode("calls").alias("pos", "c")).select("uid", "conv", "turn", "pos", "c.id", "c.depends_on")
+    calls = rows.where(F.size("calls") > 0).select("uid", "conv", "turn", F.posexplode("calls").alias("pos", "c")).select("uid", "conv", "turn", "pos", "c.id", "c.name", "c.arguments", "c.depends_on")
     firsts = calls.groupBy("conv", "id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-(2**31))).alias("t"), "uid", "pos")).alias("f")).select("conv", "id", F.col("f.uid").alias("call_uid"), F.col("f.pos").alias("call_pos"))
     firsts = written(firsts, "calls")
     results = rows.where("answers is not null").select(F.col("uid").alias("result_uid"), "conv", F.col("answers").alias("id"))
@@ -245,18 +290,18 @@ def link_tools(df: DataFrame, schemas: dict[str, dict] | None = None, conv: str
     hit = linked.select(F.col("result_uid").alias("uid"), F.lit(True).alias("found")).distinct()
     cyclic = turns.select("uid").join(order, "uid", "left_anti").withColumn("cyclic", F.lit(True))
     out = rows
-    for part in (order, per_call, own, hit, cyclic):
+    for part in (order, per_call, own, hit, cyclic, _checks(rows, calls, dict(schemas or {}))):
         out = out.join(part, "uid", "left")
     n = F.size("calls").cast("long")
     return out.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("order_depth", F.lit(0)).cast("long").alias("order_depth"),
         n.alias("n_calls"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), (n - F.coalesce("n_first", F.lit(0))).cast("long").alias("n_duplicate"),
-        "answers", (F.col("answers").isNotNull() & F.col("found").isNull()).alias("orphan"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), (F.size("broken") == 0).alias("valid"), F.concat_ws("; ", "broken").alias("violations"), "line",
+        "answers", (F.col("answers").isNotNull() & F.col("found").isNull()).alias("orphan"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("n_checked", F.lit(0)).cast("long").alias("n_checked"), F.coalesce(F.size("broken") <= 0, F.lit(True)).alias("valid"), F.concat_ws("; ", "broken").alias("violations"), "line",
     )
 
 
 def transcript_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """linked with `position`, a message's place in its conversation (for bounded conversations)."""
+    """linked with `position`, a message's place in its conversation: one sort, which spills, and no state."""
     return linked.withColumn("position", F.row_number().over(W.partitionBy(conv).orderBy("order_turn", "order_depth", turn, "line")))
 
 

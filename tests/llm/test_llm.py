@@ -352,6 +352,30 @@ def test_tool_calls_equal_brute_force(spark):
     assert {(r.conv_id, r.turn): (r.n_linked, r.n_duplicate, r.orphan, r.cyclic, r.order_turn, r.order_depth) for r in out.collect()} == want
 
 
+def test_the_query_checks_arguments_against_declared_schemas(spark, tmp_path):
+    tool = lambda name, kind, **k: {"type": "function", "function": {"name": name, "parameters": {"type": "object", "properties": {"x": {"type": kind}}, **k}}}
+    tools = lambda *t: json.dumps({"tools": list(t)})
+    call = lambda i, name, **k: {"id": i, "name": name, "arguments": k}
+    rows = [
+        (1, 0, "system", tools(tool("f", "integer", required=["x"]), {"name": "h"}, 7, {"name": None})), (1, 1, "tool", '{"tool_call_id": "a"}'), (1, 2, "assistant", A(call("a", "f", x="no"), call("b", "f"), call("c", "h", y=1), call("d", "g"))),
+        (1, 3, "system", tools(tool("f", "string"))), (1, 4, "assistant", A(call("e", "f", x=1))), (2, 0, "assistant", A(call("a", "f", x="no"))), (None, 0, "system", tools(tool("f", "string"))), (None, 1, "assistant", A(call("a", "f", x=2))),
+        (3, 0, "system", '{"tools": "f", "content": 1}'), (3, 1, "assistant", A(call("a", "f"))), (4, 0, "system", tools({"name": "f", "parameters": "none"})), (4, 1, "assistant", A(call("a", "f"))),
+        (5, 0, "system", json.dumps({"tools": [{"name": "f"}], "tool_calls": [call("a", "f"), call("b", "g")]})),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = tool_calls.op5_tool_call_linking(spark, str(tmp_path)).collect()
+    by = {(r.conv_id, r.turn): r for r in out}
+    assert len(out) == len(rows)
+    told = {k: (r.n_checked, r.valid, r.violations) for k, r in by.items() if r.n_calls}
+    assert told == {
+        (1, 2): (4, False, "a: $.x: type; b: $.x: required; d: unknown tool"), (1, 4): (1, True, ""), (2, 0): (0, True, ""), (None, 1): (1, False, "a: $.x: type"), (3, 1): (0, True, ""), (4, 1): (1, False, "a: $: schema is no rule"), (5, 0): (2, False, "b: unknown tool"),
+    }
+    assert sorted(range(5), key=lambda t: (by[1, t].order_turn, by[1, t].order_depth, t)) == [0, 2, 1, 3, 4]  # a result comes after its call
+    own = {(r.conv_id, r.turn): r for r in tool_calls.link_tools(df, {"f": {"required": ["z"]}, "g": {}}).collect()}
+    assert own[1, 4].valid and own[1, 2].violations == "a: $.x: type; b: $.x: required" and own[2, 0].violations == "a: $.z: required" and own[4, 1].violations == "a: $: schema is no rule"
+
+
 def test_order_has_no_greatest_depth(spark, monkeypatch):
     """With rounds counted by range, a chain longer than the count would be cut."""
     monkeypatch.setattr(tool_calls, "range", lambda n: [0, 1], raising=False)
