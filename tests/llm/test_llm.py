@@ -441,6 +441,25 @@ def test_tokens_equal_the_library():
     assert [np.frombuffer(x, np.uint32).tolist() for x in got] == plain_ids(texts)
 
 
+def test_kept_ids_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=8)) for _ in range(300)) for _ in range(100)]
+    own = tokens.Encoder(tokens.default_path())
+    own.encode(["a b c"])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        first = own.encode(texts)
+        n = sum(map(len, first))
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before - n
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * 29_900  # a known chunk, of about 9 bytes and 4 ids
+    assert own.encode(texts) == first and [np.frombuffer(x, np.uint32).tolist() for x in first[:20]] == plain_ids(texts[:20])
+
+
 def test_packing(docs, empty):
     cuts = packing.cut_documents(docs, tokens.default_path(), 64)
     out = packing.pack_pieces(cuts, 64, cell=20).toPandas()
