@@ -9,6 +9,8 @@ doc_id and text one. Secrets that overlap are cut as one span.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from depthweave.llm.secret_scans import find_secrets, redact
 from depthweave.llm.tokens import default_path
 
 SEQUENCE = 1024
+BATCH = "8m"  # of texts that pass to a Python worker at once: the JVM and the worker hold one of each task, 64 MB else
 
 
 def _wrapped(docs: DataFrame, *out: str) -> DataFrame:
@@ -82,7 +85,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_pieces(cut_documents(docs, default_path(), SEQUENCE), SEQUENCE)
 
 
+def _in_small_batches(stage):
+    """The stage, with its session's Arrow batches of at most BATCH; a stage runs after it returns, so they stay so."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("best-fit packing", packing)]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in STAGES]
 
 #: SQL can't express the tokenizer and the local search; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, forget
 from .words import pieces
 
 END = 2
@@ -137,16 +137,19 @@ def cut_documents(df: DataFrame, tokenizer: str, size: int, doc_id: str = "doc_i
 
     def run(batches):
         own, end = encoder(tokenizer), np.array([END], np.uint32).tobytes()
-        for b in pieces(batches, text):
-            rows: list[tuple] = []
-            for i, ids in enumerate(own.encode(b.column(text).to_pylist())):
-                ids += end
-                start = 0
-                for k, n in enumerate(cut(len(ids) // 4, size)):
-                    rows.append((i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-                    start += n
-            of, k, start, n, crc = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(doc_id).take(of), k.cast(pa.int32()), start, n, crc], names=[doc_id, "piece", "start", "length", "ids_crc32"])
+        try:
+            for b in pieces(batches, text):
+                rows: list[tuple] = []
+                for i, ids in enumerate(own.encode(b.column(text).to_pylist())):
+                    ids += end
+                    start = 0
+                    for k, n in enumerate(cut(len(ids) // 4, size)):
+                        rows.append((i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                        start += n
+                of, k, start, n, crc = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(doc_id).take(of), k.cast(pa.int32()), start, n, crc], names=[doc_id, "piece", "start", "length", "ids_crc32"])
+        finally:
+            forget()  # else an idle worker keeps the ids while other stages run
 
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, piece int, start long, length long, ids_crc32 long")
 

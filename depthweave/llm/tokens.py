@@ -10,6 +10,8 @@ Texts with other spacing, or with a special token's opening, are encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 
@@ -140,6 +142,8 @@ def forget() -> None:
     """Give back what encoders hold in this worker: workers outlive the stage that used them."""
     _encoders.clear()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def default_path() -> str:

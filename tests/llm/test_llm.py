@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from depthweave.llm import decontamination, html_wrappers, id_codec, jaccard_join, packing, quality_rules, secret_scans, sharding, suffix_tree, token_files, tokens, tool_calls, words
@@ -460,6 +461,20 @@ def test_kept_ids_take_little_memory():
     assert own.encode(texts) == first and [np.frombuffer(x, np.uint32).tolist() for x in first[:20]] == plain_ids(texts[:20])
 
 
+def test_workers_give_back_ids_and_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        df = spark.range(64, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"))
+        assert corpus_pipeline.packing(spark, df, "").count() == 64
+        held = df.mapInArrow(lambda bs: [pa.RecordBatch.from_arrays([pa.array([len(tokens._encoders) + 0 * sum(map(len, bs))])], names=["n"])], "n long")
+        assert {r.n for r in held.collect()} == {0}
+        corpus_pipeline.STAGES[0][1](spark, df.withColumn("source", F.lit("s")), "")
+        assert spark.conf.get(key) == corpus_pipeline.BATCH
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_packing(docs, empty):
     cuts = packing.cut_documents(docs, tokens.default_path(), 64)
     out = packing.pack_pieces(cuts, 64, cell=20).toPandas()
