@@ -239,7 +239,8 @@ def _checks(rows: DataFrame, calls: DataFrame, schemas: dict[str, dict]) -> Data
 
     j = calls.join(own, calls["conv"].eqNullSafe(F.col("_own")) & (calls["name"] == F.col("_name")), "left").join(told, calls["conv"].eqNullSafe(F.col("_conv")), "left")
     j = j.select("uid", "pos", check("id", "name", "arguments", "schema", "tells").alias("bad")).where("bad is not null")
-    return j.groupBy("uid").agg(F.count("*").alias("n_checked"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bad"))), lambda x: x["bad"])).alias("broken"))
+    found = j.groupBy("uid").agg(F.count("*").alias("n_checked"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bad"))), lambda x: x["bad"])).alias("broken"))
+    return written(found, "checks")  # its size is known then: messages don't move while it is small
 
 
 def _ordered(edges: DataFrame, turns: DataFrame) -> DataFrame:
