@@ -20,7 +20,8 @@ def derived_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = e.withColumn("type", kind).withColumn("m", F.coalesce(F.sum(born.cast("bigint")).over(before), F.lit(0)))
     reducing = F.col("type").isin("E", "C", "X", "D", "U")
     target = F.when(reducing & (F.col("m") > 0), F.col("m") - 1 - (seq * 31) % F.greatest(F.lit(1), F.least("m", F.lit(40))))
-    births = m.where(born).select(F.col("locate").alias("bl"), F.col("m").alias("ordinal"), seq.alias("bref"))
+    numbered = F.row_number().over(W.partitionBy("locate").orderBy("seq")) - 1  # m of a birth, counted over births alone
+    births = e.withColumn("type", kind).where(born).select(F.col("locate").alias("bl"), numbered.cast("bigint").alias("ordinal"), seq.alias("bref"))
     j = m.withColumn("target", target).join(births, (F.col("locate") == F.col("bl")) & (F.col("target") == F.col("ordinal")), "left")
     t = F.col("type")
     return j.select(

@@ -496,3 +496,29 @@ def test_golden_lines_of_many_checkpoints(spark):
     want += [(n, 0, "", f"checkpoint {n}") for n in range(1, 1001)] + [(1000, 1, "", "end 1000")]
     assert sorted(got) == sorted(want)
     assert _records_shuffled(spark) - before < 50_000
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    """Both queries write tables in turn; what their shuffles left stayed until the driver collected its garbage."""
+    from depthweave.functions.lineage import cut
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = set(local.rglob("shuffle_*.data"))
+    out = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")), "wide")
+    assert set(local.rglob("shuffle_*.data")) <= before
+    assert out.count() == 7
+
+
+def test_report_follows_the_busiest_symbols_only(spark, tmp_path):
+    """Twenty thousand events of 16 symbols: the fates that are written are those of five."""
+    from depthweave.functions.lineage import shared_dir
+    from depthweave.plans.market import QUERIES
+
+    events = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 1499).alias("user_id"), F.element_at(F.array(*map(F.lit, ["view", "click", "purchase", "error"])), (F.col("id") * 13 % 4 + 1).cast("int")).alias("event_type"), F.format_string('{"k": %d}', F.col("id") * 31 % 100).alias("props"))
+    events.write.parquet(f"{tmp_path}/in/events.parquet")
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("fates-*"))
+    lines = QUERIES["s11_golden_lines"](spark, f"{tmp_path}/in").where("part = 1 and locate > 0").collect()
+    fates = spark.read.parquet(*map(str, set(shared.glob("fates-*")) - before))
+    assert fates.select("locate").distinct().count() == 5 == len({x.locate for x in lines})
+    assert len(lines) == 30
