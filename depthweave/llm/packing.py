@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .tokens import default_path, encoder, forget
+from .tokens import default_path, encoder, forget, trim
 from .words import pieces
 
 END = 2
@@ -132,13 +132,16 @@ def pack(sizes: list[int], cap: int) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def cut_documents(df: DataFrame, tokenizer: str, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32) of every document's pieces."""
+def cut_documents(df: DataFrame, tokenizer: str, size: int, doc_id: str = "doc_id", text: str = "text", batch: int = 4 << 20, known: int = 300_000, keep: bool = False) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32) of every document's pieces.
+
+    batch: bytes of text encoded at once; known: chunks a worker keeps ids of; keep: from task to task.
+    """
 
     def run(batches):
-        own, end = encoder(tokenizer), np.array([END], np.uint32).tobytes()
+        own, end = encoder(tokenizer, known), np.array([END], np.uint32).tobytes()
         try:
-            for b in pieces(batches, text):
+            for b in pieces(batches, text, batch):
                 rows: list[tuple] = []
                 for i, ids in enumerate(own.encode(b.column(text).to_pylist())):
                     ids += end
@@ -149,7 +152,7 @@ def cut_documents(df: DataFrame, tokenizer: str, size: int, doc_id: str = "doc_i
                 of, k, start, n, crc = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(doc_id).take(of), k.cast(pa.int32()), start, n, crc], names=[doc_id, "piece", "start", "length", "ids_crc32"])
         finally:
-            forget()  # else an idle worker keeps the ids while other stages run
+            trim() if keep else forget()  # else an idle worker keeps the ids while other stages run
 
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, piece int, start long, length long, ids_crc32 long")
 
@@ -179,7 +182,8 @@ def pack_pieces(cuts: DataFrame, size: int, cell: int = 8192) -> DataFrame:
 
 def op7_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack_pieces(cut_documents(docs, default_path(), 1024), 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cuts = cut_documents(docs, default_path(), 1024, batch=16 << 20, known=600_000, keep=True)
+    return pack_pieces(cuts, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {"op7_swap_packing": op7_swap_packing}

@@ -128,19 +128,24 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 300_000) -> Encoder:
     """This worker's encoder of the tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def forget() -> None:
     """Give back what encoders hold in this worker: workers outlive the stage that used them."""
     _encoders.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give back memory that is free; what encoders know stays."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -492,6 +492,18 @@ def test_packing(docs, empty):
     assert packing.pack_pieces(packing.cut_documents(empty, tokens.default_path(), 64), 64).count() == 0
 
 
+def test_packing_keeps_ids_from_task_to_task(spark, docs):
+    plain = packing.cut_documents(docs, tokens.default_path(), 64)
+    kept = packing.cut_documents(docs.repartition(5), tokens.default_path(), 64, batch=100, known=7, keep=True)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
+    own = tokens.encoder(tokens.default_path(), 7)
+    own.encode(["one two two"])
+    tokens.trim()
+    assert tokens.encoder(tokens.default_path(), 7) is own and len(own.chunks) == 1  # trimmed, not forgotten
+    tokens.forget()
+    assert tokens.encoder(tokens.default_path(), 7) is not own
+
+
 def test_local_search_empties_bins():
     sizes = [6, 6, 5, 5, 4, 4]  # best fit decreasing leaves a bin more than 10, 10, 10 need
     assert len(packing.pack(sizes, 10)) == 3
