@@ -1,11 +1,13 @@
-"""Adaptive context-mixing range coder for token ids, over many blocks in step.
-
-A block is up to BLOCK ids and starts from a fresh model. For each id, order-2 and order-1
-contexts predict an id each, and their confidences are mixed with the block's running hit rate
-by weights trained as it goes into the chance that the prediction holds; that flag is range
-coded. A missed id is coded by order-0 counts of its high and low byte, renewed every RENEW ids.
-All blocks of a frame advance together, one id per step, as array operations; each has its own
-coder, so any block can be decoded alone. Arithmetic is on integers, equal on every machine.
+"""Context-mixing range coder for token ids, over many blocks in step.
+
+A frame counts, once, which id follows each order-1 context (the id before) and each order-2
+context (a hash of the two before) most often, and how often it does; the predictions with their
+confidences, and counts of the ids that were missed, go at the frame's head. A block is up to
+BLOCK ids. For each id the confidences of the contexts are mixed with the block's running hit
+rate, by weights trained as it goes, into the chance that the order-2 prediction holds; that flag
+is range coded. A missed id is coded by its order-0 count. All blocks of a frame advance
+together, one id per step, as array operations; each has its own coder and weights, so with the
+frame's head any block can be decoded alone. Arithmetic is on integers, equal on every machine.
 """
 
 from __future__ import annotations
@@ -16,59 +18,76 @@ import zlib
 
 import numpy as np
 
-BLOCK, RENEW = 4096, 64
-_H1, _H2 = 2048, 4096
+BLOCK, _SLAB = 4096, 128
+_CONTEXTS, _TOTAL = 1 << 16, 17  # of each order; the missed ids' counts add up to 2 ** _TOTAL
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-_S12, _S16, _S48 = np.uint64(12), np.uint64(16), np.uint64(48)
+_S12, _S16, _S48, _ST = np.uint64(12), np.uint64(16), np.uint64(48), np.uint64(_TOTAL)
+_ONE = np.uint64(4096)
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
+_CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int64)
+_APART = -300  # what order 1 says for order 2's prediction where its own is another
 _SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2200, 2201)], np.int64), 48, 4048)
-_MAGIC = b"DWI1"
+_MAGIC = b"DWI2"
 
 
-class _Model:
+def _order2(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """The order-2 context of ids after x2, x1."""
+    return ((x1 * 2654435761 + x2 * 2246822519) >> 13) & (_CONTEXTS - 1)
+
+
+def _followers(context: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every context: the id that follows it most often, and how often of 255 times."""
+    guess, conf = np.zeros(_CONTEXTS, np.uint16), np.zeros(_CONTEXTS, np.uint8)
+    pairs = context.astype(np.uint32)
+    pairs <<= np.uint32(16)
+    pairs |= x
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times = np.diff(first, append=len(pairs))
+    own = pairs[first].astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], own[1:] >> 16 != own[:-1] >> 16]))
+    most = np.maximum.reduceat((times << 16) | (own & 0xFFFF), at)
+    of = own[at] >> 16
+    guess[of], conf[of] = most & 0xFFFF, (most >> 16) * 255 // np.add.reduceat(times, at)
+    return guess, conf
+
+
+def _shares(missed: np.ndarray) -> np.ndarray:
+    """Counts of the missed ids, each of them 1 at least, that add up to 2 ** _TOTAL."""
+    n = np.bincount(missed, minlength=_CONTEXTS).astype(np.int64)
+    some = n > 0
+    if not some.any():
+        n[0], some[0] = 1, True
+    share = some + n * ((1 << _TOTAL) - int(some.sum())) // n.sum()
+    share[n.argmax()] += (1 << _TOTAL) - share.sum()
+    return share.astype(np.uint32)
+
+
+class _Mixer:
+    """Each block's weights of the inputs: order 2, order 1, the block's hit rate."""
+
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.pred1, self.pred2 = np.full(lanes * _H1, -1, np.int32), np.full(lanes * _H2, -1, np.int32)
-        self.conf1, self.conf2 = np.full(lanes * _H1, 2048, np.int32), np.full(lanes * _H2, 2048, np.int32)
         self.rate = np.full(lanes, 1024, np.int64)
         self.weight = np.tile(np.array([[40000], [16000], [16000]], np.int64), (1, lanes))
-        self.count = np.ones((2, lanes, 256), np.int32)
-        self.cum = np.zeros((2, lanes, 257), np.int32)
-        self.x1, self.x2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def renew(self) -> None:
-        sums = np.cumsum(self.count, axis=2, dtype=np.int64)
-        self.cum[:, :, 1:] = sums * 3840 // sums[:, :, -1:] + np.arange(1, 257)
-
-    def predict(self, n: int) -> None:
-        """For the first n lanes: the predicted ids and the chance of 4096 that they hold."""
-        x1, lane = self.x1[:n], self.lane[:n]
-        mixed = x1 * 2654435761
-        self.at1 = lane * _H1 + ((mixed >> 12) & (_H1 - 1))
-        self.at2 = lane * _H2 + (((mixed + self.x2[:n] * 2246822519) >> 13) & (_H2 - 1))
-        self.p1, self.p2 = self.pred1[self.at1], self.pred2[self.at2]
-        self.c1, self.c2 = self.conf1[self.at1].astype(np.int64), self.conf2[self.at2].astype(np.int64)
-        has2 = self.p2 >= 0
-        self.guess = np.where(has2, self.p2, self.p1)
-        self.inputs = np.stack([_STRETCH[self.c2] * has2, np.where(self.p1 == self.guess, _STRETCH[self.c1], -300) * (self.p1 >= 0), _STRETCH[self.rate[:n]]])
-        dot = np.einsum("ij,ij->j", self.inputs, self.weight[:, :n]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2200, 2200) + 2200]
-
-    def update(self, n: int, x: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
-        error = hit * 4096 - self.p
-        self.weight[:, :n] += (self.inputs * error) >> 14
-        self.rate[:n] += (hit * 4095 - self.rate[:n]) >> 5
-        for at, pred, conf, p, c in ((self.at1, self.pred1, self.conf1, self.p1, self.c1), (self.at2, self.pred2, self.conf2, self.p2, self.c2)):
-            right = p == x
-            c = c + ((right * 4095 - c) >> 3)
-            fresh = ~right & ((c < 1024) | (p < 0))
-            pred[at] = np.where(fresh, x, p)
-            conf[at] = np.where(fresh, 1600, c)
-        if len(missed):
-            y = x[missed]
-            self.count[0, missed, y >> 8] += 8
-            self.count[1, missed, y & 255] += 8
-        self.x2[:n], self.x1[:n] = self.x1[:n], x
+        self.inputs, self.product = np.zeros((3, lanes), np.int64), np.zeros((3, lanes), np.int64)
+
+    def chance(self, n: int, by2: np.ndarray, by1: np.ndarray) -> np.ndarray:
+        """For the first n blocks: the chance of 4096 that the prediction holds."""
+        inputs, product = self.inputs[:, :n], self.product[:, :n]
+        inputs[0], inputs[1], inputs[2] = by2, by1, _STRETCH[self.rate[:n]]
+        np.multiply(inputs, self.weight[:, :n], out=product)
+        dot = (product[0] + product[1] + product[2]) >> 16
+        np.clip(dot, -2200, 2200, out=dot)
+        self.p = _SQUASH[dot + 2200]
+        return self.p
+
+    def train(self, n: int, hit: np.ndarray) -> None:
+        product = self.product[:, :n]
+        np.multiply(self.inputs[:, :n], (hit.astype(np.int64) << 12) - self.p, out=product)
+        product >>= 14
+        self.weight[:, :n] += product
+        rate = self.rate[:n]
+        rate += (hit * 4095 - rate) >> 5
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -77,123 +96,153 @@ def _lanes(n: int) -> tuple[int, int]:
     return k, n - (k - 1) * BLOCK
 
 
+def _unsettled(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coders that pass a word on, and whether its bits are the same over the whole range."""
+    settled = (low ^ (low + rng)) < _TOP
+    go = np.flatnonzero(settled | (rng < _BOT))
+    return go, settled[go]
+
+
+def _narrowed(low: np.ndarray, rng: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    return np.where(settled, rng, (~low + np.uint64(1)) & (_BOT - np.uint64(1)))
+
+
 def encode_frame(ids: np.ndarray) -> bytes:
     """The ids (below 65536) as one self-contained byte string of checksummed blocks."""
     n = len(ids)
     k, last = _lanes(n) if n else (0, 0)
-    grid = np.zeros((BLOCK, k), np.int64)
-    for i in range(k):
-        part = ids[i * BLOCK : (i + 1) * BLOCK]
-        grid[: len(part), i] = part
+    crcs = [zlib.crc32(np.ascontiguousarray(ids[i * BLOCK : (i + 1) * BLOCK], "<u4").tobytes()) for i in range(k)]
+    if not n:
+        return struct.pack("<4sQII", _MAGIC, 0, 0, 0)
+    x = ids.astype(np.uint16)
+    x1, x2 = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    x1[1:], x2[2:] = x[:-1], x[:-2]
+    x1[::BLOCK], x2[::BLOCK], x2[1::BLOCK] = 0, 0, 0
+    slabs = [slice(i, i + _SLAB * BLOCK) for i in range(0, n, _SLAB * BLOCK)]  # so that indices of 64 bits are few at once
+    context, held = np.empty(n, np.uint16), np.empty(n, bool)
+    for at in slabs:
+        context[at] = _order2(x1[at].astype(np.int64), x2[at].astype(np.int64))
+    guess1, conf1 = _followers(x1, x)
+    guess2, conf2 = _followers(context, x)
+    by1, by2, grid, hits = (np.zeros((BLOCK, k), kind) for kind in (np.int16, np.int16, np.uint16, bool))  # a row for each step
+    for at in slabs:
+        c, c1 = context[at].astype(np.int64), x1[at].astype(np.int64)
+        guess = guess2[c]
+        held[at] = guess == x[at]
+        of1 = np.where(guess1[c1] == guess, _CONF[conf1[c1]], _APART)
+        for to, part in ((by1, of1), (by2, _CONF[conf2[c]]), (grid, x[at]), (hits, held[at])):
+            first, full = at.start // BLOCK, len(part) // BLOCK
+            to[:, first : first + full] = part[: full * BLOCK].reshape(full, BLOCK).T
+            to[: len(part) - full * BLOCK, first + full : first + full + 1] = part[full * BLOCK :, None]
+    share = _shares(x[~held])
+    first, share_of = (np.cumsum(share, dtype=np.int64) - share).astype(np.uint64), share.astype(np.uint64)
+    del x, x1, x2, context, held
     out, at = np.zeros((k, 3 * BLOCK + 8), np.uint16), np.zeros(k, np.int64)
-    low, rng = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    m = _Model(k)
+    lows, rngs = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
+    m = _Mixer(k)
     for t in range(BLOCK if k > 1 else last):
         a = k if t < last else k - 1
-        if t % RENEW == 0:
-            m.renew()
-        x = grid[t, :a]
-        m.predict(a)
-        hit = x == m.guess
-        p = m.p.astype(np.uint64)
-        r = rng[:a] >> _S12
-        low[:a] += np.where(hit, np.uint64(0), r * p)
-        rng[:a] = r * np.where(hit, p, np.uint64(4096) - p)
+        low, rng, hit = lows[:a], rngs[:a], hits[t, :a]
+        p = m.chance(a, by2[t, :a], by1[t, :a]).astype(np.uint64)
+        rng >>= _S12
+        low += np.where(hit, np.uint64(0), rng * p)
+        rng *= np.where(hit, p, _ONE - p)
         missed = np.flatnonzero(~hit)
-        if len(missed):
-            lo, rg = low[missed], rng[missed]
-            for which, s in ((0, x[missed] >> 8), (1, x[missed] & 255)):
-                c = m.cum[which]
-                first = c[missed, s].astype(np.uint64)
-                r = rg >> _S12
-                lo += r * first
-                rg = r * (c[missed, s + 1].astype(np.uint64) - first)
-            low[missed], rng[missed] = lo, rg
-        m.update(a, x, hit, missed)
-        live = np.arange(a)
-        while True:
+        s, r = grid[t, missed], rng[missed] >> _ST
+        low[missed] += r * first[s]
+        rng[missed] = r * share_of[s]
+        m.train(a, hit)
+        live, settled = _unsettled(low, rng)
+        while len(live):
             lo, rg = low[live], rng[live]
-            settled = (lo ^ (lo + rg)) < _TOP
-            go = settled | (rg < _BOT)
-            live, lo, rg, settled = live[go], lo[go], rg[go], settled[go]
-            if not len(live):
-                break
-            rg = np.where(settled, rg, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
+            rg = _narrowed(lo, rg, settled)
             out[live, at[live]] = lo >> _S48
             at[live] += 1
-            low[live], rng[live] = lo << _S16, rg << _S16
+            lo, rg = lo << _S16, rg << _S16
+            low[live], rng[live] = lo, rg
+            more, settled = _unsettled(lo, rg)
+            live = live[more]
     for _ in range(4):
-        out[np.arange(k), at] = low >> _S48
+        out[np.arange(k), at] = lows >> _S48
         at += 1
-        low <<= _S16
-    crcs = [zlib.crc32(np.ascontiguousarray(ids[i * BLOCK : (i + 1) * BLOCK], "<u4").tobytes()) for i in range(k)]
-    head = struct.pack("<4sQI", _MAGIC, n, k) + np.array(at, "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
-    return head + b"".join(out[i, : at[i]].astype("<u2").tobytes() for i in range(k))
+        lows <<= _S16
+    model = zlib.compress(guess1.astype("<u2").tobytes() + conf1.tobytes() + guess2.astype("<u2").tobytes() + conf2.tobytes() + share.astype("<u4").tobytes(), 1)
+    head = struct.pack("<4sQII", _MAGIC, n, k, len(model)) + np.array(at, "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
+    return head + model + b"".join(out[i, : at[i]].astype("<u2").tobytes() for i in range(k))
+
+
+def _model(packed: bytes) -> list[np.ndarray]:
+    try:
+        data = zlib.decompress(packed)
+    except zlib.error as e:
+        raise ValueError("the frame's head is damaged") from e
+    out, at = [], 0
+    for kind in ("<u2", "u1", "<u2", "u1", "<u4"):
+        out.append(np.frombuffer(data, kind, _CONTEXTS, at).astype(np.int64))
+        at += out[-1].size * np.dtype(kind).itemsize
+    return out
 
 
 def decode_frame(data: bytes) -> np.ndarray:
     """The ids of a frame; ValueError where a block's checksum differs."""
-    magic, n, k = struct.unpack_from("<4sQI", data)
+    magic, n, k, size = struct.unpack_from("<4sQII", data)
     if magic != _MAGIC:
         raise ValueError("not a frame of token ids")
     if not n:
         return np.zeros(0, np.uint32)
-    last = n - (k - 1) * BLOCK
-    sizes = np.frombuffer(data, "<u4", k, 16).astype(np.int64)
-    crcs = np.frombuffer(data, "<u4", k, 16 + 4 * k)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), 16 + 8 * k)
-    words = np.concatenate([words, np.zeros(4, "<u2")]).astype(np.uint64)
+    last, body = n - (k - 1) * BLOCK, 20 + 8 * k
+    sizes = np.frombuffer(data, "<u4", k, 20).astype(np.int64)
+    crcs = np.frombuffer(data, "<u4", k, 20 + 4 * k)
+    guess1, conf1, guess2, conf2, share = _model(data[body : body + size])
+    say1, say2 = _CONF[conf1], _CONF[conf2]
+    first, share_of = (np.cumsum(share) - share).astype(np.uint64), share.astype(np.uint64)
+    symbol = np.repeat(np.arange(_CONTEXTS, dtype=np.uint16), share)
+    words = np.frombuffer(data, "<u2", int(sizes.sum()), body + size)
+    words = np.concatenate([words, np.zeros(4, "<u2")])
     at = np.cumsum(sizes) - sizes
-    code = np.zeros(k, np.uint64)
+    codes = np.zeros(k, np.uint64)
     for _ in range(4):
-        code = (code << _S16) | words[at]
+        codes = (codes << _S16) | words[at]
         at += 1
     end = len(words) - 1
-    low, rng = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    grid = np.zeros((BLOCK, k), np.int64)
-    m = _Model(k)
+    lows, rngs = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
+    grid = np.zeros((BLOCK, k), np.uint16)
+    x1, x2 = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    m, most = _Mixer(k), np.uint64((1 << _TOTAL) - 1)
     for t in range(BLOCK if k > 1 else last):
         a = k if t < last else k - 1
-        if t % RENEW == 0:
-            m.renew()
-        m.predict(a)
-        p = m.p.astype(np.uint64)
-        r = rng[:a] >> _S12
-        gap = code[:a] - low[:a]
-        hit = gap < r * p
-        low[:a] += np.where(hit, np.uint64(0), r * p)
-        rng[:a] = r * np.where(hit, p, np.uint64(4096) - p)
+        low, rng, code, x1, x2 = lows[:a], rngs[:a], codes[:a], x1[:a], x2[:a]
+        context = _order2(x1, x2)
+        x = guess2[context]
+        p = m.chance(a, say2[context], np.where(guess1[x1] == x, say1[x1], _APART)).astype(np.uint64)
+        rng >>= _S12
+        bound = rng * p
+        hit = code - low < bound
+        low += np.where(hit, np.uint64(0), bound)
+        rng *= np.where(hit, p, _ONE - p)
         missed = np.flatnonzero(~hit)
-        x = m.guess.astype(np.int64)
-        if len(missed):
-            lo, rg, value = low[missed], rng[missed], np.zeros(len(missed), np.int64)
-            for which in (0, 1):
-                c = m.cum[which]
-                r = rg >> _S12
-                v = np.minimum((code[missed] - lo) // r, np.uint64(4095)).astype(np.int64)
-                s = np.zeros(len(missed), np.int64)
-                for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                    s += bit * (c[missed, s + bit] <= v)
-                first = c[missed, s].astype(np.uint64)
-                lo += r * first
-                rg = r * (c[missed, s + 1].astype(np.uint64) - first)
-                value = value * 256 + s
-            low[missed], rng[missed], x[missed] = lo, rg, value
+        lo, r = low[missed], rng[missed] >> _ST
+        s = symbol[np.minimum((code[missed] - lo) // r, most).astype(np.int64)]
+        low[missed] = lo + r * first[s]
+        rng[missed] = r * share_of[s]
+        x[missed] = s
         grid[t, :a] = x
-        m.update(a, x, hit, missed)
-        live = np.arange(a)
-        while True:
+        x2, x1 = x1, x
+        m.train(a, hit)
+        live, settled = _unsettled(low, rng)
+        while len(live):
             lo, rg = low[live], rng[live]
-            settled = (lo ^ (lo + rg)) < _TOP
-            go = settled | (rg < _BOT)
-            live, lo, rg, settled = live[go], lo[go], rg[go], settled[go]
-            if not len(live):
-                break
-            rg = np.where(settled, rg, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
-            code[live] = (code[live] << _S16) | words[np.minimum(at[live], end)]
-            at[live] += 1
-            low[live], rng[live] = lo << _S16, rg << _S16
-    ids = grid.T.astype("<u4").reshape(-1)[:n] if k > 1 else grid[:last, 0].astype("<u4")
+            rg = _narrowed(lo, rg, settled)
+            own = at[live]
+            code[live] = (code[live] << _S16) | words[np.minimum(own, end)]
+            at[live] = own + 1
+            lo, rg = lo << _S16, rg << _S16
+            low[live], rng[live] = lo, rg
+            more, settled = _unsettled(lo, rg)
+            live = live[more]
+    ids = grid.T.astype("<u4").reshape(-1)[:n]
+    if k == 1:
+        ids = grid[:last, 0].astype("<u4")
     for i in range(k):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crcs[i]:
             raise ValueError(f"block {i} is damaged")

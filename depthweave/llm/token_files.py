@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .id_codec import decode_frame, encode_frame
 from .scratch import shared_dir
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, trim
 from .words import pieces
 
 END = 0
@@ -37,7 +37,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id",
     ordered = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("_tie", F.xxhash64("text")).repartitionByRange("id", "_tie").sortWithinPartitions("id", "_tie", "text").drop("_tie")
 
     def run(batches):
-        own, end = encoder(tokenizer), np.array([END], np.uint32).tobytes()
+        own, end = encoder(tokenizer, 600_000), np.array([END], np.uint32).tobytes()
         part, number = TaskContext.get().partitionId(), 0
         names, coded, held, id_type = [], [], 0, None
 
@@ -45,7 +45,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id",
             ids = np.frombuffer(b"".join(coded), np.uint32)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], pa.list_(id_type)), pa.array([[len(x) // 4 for x in coded]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_frame(ids)], pa.binary())], names=["part", "frame", "ids", "lengths", "n", "payload"])
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 16 << 20):
             id_type = b.column("id").type
             for name, ids in zip(b.column("id").to_pylist(), own.encode(b.column("text").to_pylist()), strict=True):
                 names.append(name)
@@ -56,6 +56,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id",
                     names, coded, held, number = [], [], 0, number + 1
         if coded:
             yield made()
+        trim()
 
     ordered.mapInArrow(run, f"part int, frame int, ids array<{kind.simpleString()}>, lengths array<long>, n long, payload binary").write.parquet(path)
 
