@@ -18,15 +18,16 @@ import zlib
 
 import numpy as np
 
-BLOCK, _SLAB = 4096, 128
+BLOCK, _SLAB = 1024, 512
 _CONTEXTS, _TOTAL = 1 << 16, 17  # of each order; the missed ids' counts add up to 2 ** _TOTAL
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 _S12, _S16, _S48, _ST = np.uint64(12), np.uint64(16), np.uint64(48), np.uint64(_TOTAL)
 _ONE = np.uint64(4096)
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
-_CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int64)
+_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int32)
+_CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int32)
 _APART = -300  # what order 1 says for order 2's prediction where its own is another
-_SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2200, 2201)], np.int64), 48, 4048)
+_SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2200, 2201)], np.int32), 48, 4048)
+_HEAVIEST = 300_000  # times three inputs below 2308, within 32 bits
 _MAGIC = b"DWI2"
 
 
@@ -67,27 +68,35 @@ class _Mixer:
     """Each block's weights of the inputs: order 2, order 1, the block's hit rate."""
 
     def __init__(self, lanes: int):
-        self.rate = np.full(lanes, 1024, np.int64)
-        self.weight = np.tile(np.array([[40000], [16000], [16000]], np.int64), (1, lanes))
-        self.inputs, self.product = np.zeros((3, lanes), np.int64), np.zeros((3, lanes), np.int64)
+        self.rate = np.full(lanes, 1024, np.int32)
+        self.weight = np.tile(np.array([[40000], [16000], [16000]], np.int32), (1, lanes))
+        self.inputs, self.product = np.zeros((3, lanes), np.int32), np.zeros((3, lanes), np.int32)
 
     def chance(self, n: int, by2: np.ndarray, by1: np.ndarray) -> np.ndarray:
         """For the first n blocks: the chance of 4096 that the prediction holds."""
         inputs, product = self.inputs[:, :n], self.product[:, :n]
-        inputs[0], inputs[1], inputs[2] = by2, by1, _STRETCH[self.rate[:n]]
+        inputs[0], inputs[1] = by2, by1
+        _STRETCH.take(self.rate[:n], out=inputs[2], mode="clip")
         np.multiply(inputs, self.weight[:, :n], out=product)
-        dot = (product[0] + product[1] + product[2]) >> 16
-        np.clip(dot, -2200, 2200, out=dot)
-        self.p = _SQUASH[dot + 2200]
+        dot = product[0] + product[1]
+        dot += product[2]
+        dot >>= 16
+        dot += 2200
+        self.p = _SQUASH.take(dot, mode="clip")
         return self.p
 
     def train(self, n: int, hit: np.ndarray) -> None:
-        product = self.product[:, :n]
-        np.multiply(self.inputs[:, :n], (hit.astype(np.int64) << 12) - self.p, out=product)
+        product, weight, rate = self.product[:, :n], self.weight[:, :n], self.rate[:n]
+        held = hit.astype(np.int32)
+        np.multiply(self.inputs[:, :n], (held << 12) - self.p, out=product)
         product >>= 14
-        self.weight[:, :n] += product
-        rate = self.rate[:n]
-        rate += (hit * 4095 - rate) >> 5
+        weight += product
+        np.minimum(weight, _HEAVIEST, out=weight)
+        np.maximum(weight, -_HEAVIEST, out=weight)
+        held *= 4095
+        held -= rate
+        held >>= 5
+        rate += held
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -137,7 +146,7 @@ def encode_frame(ids: np.ndarray) -> bytes:
     share = _shares(x[~held])
     first, share_of = (np.cumsum(share, dtype=np.int64) - share).astype(np.uint64), share.astype(np.uint64)
     del x, x1, x2, context, held
-    out, at = np.zeros((k, 3 * BLOCK + 8), np.uint16), np.zeros(k, np.int64)
+    out, at = np.zeros((3 * BLOCK + 8, k), np.uint16), np.zeros(k, np.int64)  # blocks are about as far, so what is written lies close
     lows, rngs = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
     m = _Mixer(k)
     for t in range(BLOCK if k > 1 else last):
@@ -156,19 +165,21 @@ def encode_frame(ids: np.ndarray) -> bytes:
         while len(live):
             lo, rg = low[live], rng[live]
             rg = _narrowed(lo, rg, settled)
-            out[live, at[live]] = lo >> _S48
-            at[live] += 1
+            own = at[live]
+            out[own, live] = lo >> _S48
+            at[live] = own + 1
             lo, rg = lo << _S16, rg << _S16
             low[live], rng[live] = lo, rg
             more, settled = _unsettled(lo, rg)
             live = live[more]
     for _ in range(4):
-        out[np.arange(k), at] = lows >> _S48
+        out[at, np.arange(k)] = lows >> _S48
         at += 1
         lows <<= _S16
+    out = np.ascontiguousarray(out[: at.max()].T, "<u2")
     model = zlib.compress(guess1.astype("<u2").tobytes() + conf1.tobytes() + guess2.astype("<u2").tobytes() + conf2.tobytes() + share.astype("<u4").tobytes(), 1)
     head = struct.pack("<4sQII", _MAGIC, n, k, len(model)) + np.array(at, "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
-    return head + model + b"".join(out[i, : at[i]].astype("<u2").tobytes() for i in range(k))
+    return head + model + b"".join(out[i, : at[i]].tobytes() for i in range(k))
 
 
 def _model(packed: bytes) -> list[np.ndarray]:

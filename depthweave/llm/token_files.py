@@ -45,7 +45,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id",
             ids = np.frombuffer(b"".join(coded), np.uint32)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], pa.list_(id_type)), pa.array([[len(x) // 4 for x in coded]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_frame(ids)], pa.binary())], names=["part", "frame", "ids", "lengths", "n", "payload"])
 
-        for b in pieces(batches, "text", 16 << 20):
+        for b in pieces(batches, "text", 18 << 20):
             id_type = b.column("id").type
             for name, ids in zip(b.column("id").to_pylist(), own.encode(b.column("text").to_pylist()), strict=True):
                 names.append(name)

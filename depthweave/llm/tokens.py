@@ -58,21 +58,32 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _met(self, ids: np.ndarray, want: np.ndarray) -> np.ndarray | None:
+        """The last id of each chunk of so many bytes, if the ids meet every chunk's end."""
+        ends, want = np.cumsum(self.sizes[ids]), np.cumsum(want)
+        at = np.searchsorted(ends, want)
+        return at if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == want).all() else None
+
     def _learn(self, chunks: pa.Array) -> None:
         """Keep the ids of each chunk with a space before it."""
         pool, lens = [self.pool], [self.lens]
         for i in range(0, len(chunks), 20_000):
-            parts = [chunks[j : j + 500] for j in range(i, min(len(chunks), i + 20_000), 500)]
-            groups = [p.to_pylist() for p in parts]
-            for part, group, ids in zip(parts, groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-                ends = np.cumsum(self.sizes[ids])
-                want = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-                at = np.searchsorted(ends, want)
-                if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == want).all():
+            part = chunks[i : i + 20_000]
+            group = part.to_pylist()
+            coded = self._ids([" " + " ".join(group[j : j + 500]) for j in range(0, len(group), 500)])
+            want = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            at = self._met(np.concatenate(coded), want)
+            if at is not None:
+                pool += coded
+                lens.append(np.diff(at + 1, prepend=0))
+                continue
+            for j, ids in zip(range(0, len(group), 500), coded, strict=True):
+                at = self._met(ids, want[j : j + 500])
+                if at is not None:
                     pool.append(ids)
                     lens.append(np.diff(at + 1, prepend=0))
                 else:
-                    each = self._ids([" " + c for c in group])
+                    each = self._ids([" " + c for c in group[j : j + 500]])
                     pool += each
                     lens.append(np.array([len(x) for x in each], np.int64))
         self.pool, self.lens = np.concatenate(pool), np.concatenate(lens)
