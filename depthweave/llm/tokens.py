@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _WHOLE = re.compile(r" \s|\s |<\|")
+_PERHAPS = r"  | \n|\n |<\||[^\n -~]"  # where it doesn't occur, nor does _WHOLE
 
 
 def _whole(t: str) -> bool:
@@ -129,9 +130,10 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text; a null text is empty."""
         out: list = [b""] * len(texts)
         parts, whole = [], []
+        perhaps = pc.match_substring_regex(pa.array(texts, pa.large_string()), _PERHAPS).to_pylist()
         for i, t in enumerate(texts):
             if t:
-                (whole if _whole(t) else parts).append(i)
+                (whole if perhaps[i] and _whole(t) else parts).append(i)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids.tobytes()
         for i, ids in zip(parts, self._joined([texts[i] for i in parts]) if parts else [], strict=True):
