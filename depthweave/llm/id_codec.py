@@ -5,7 +5,9 @@ context (a hash of the two before) most often, and how often it does; the predic
 confidences, and counts of the ids that were missed, go at the frame's head. A block is up to
 BLOCK ids. For each id the confidences of the contexts are mixed with the block's running hit
 rate, by weights trained as it goes, into the chance that the order-2 prediction holds; that flag
-is range coded. A missed id is coded by its order-0 count. All blocks of a frame advance
+is range coded. A missed id is coded by its order-0 count. A coder passes 32 bits on as soon as
+its range is below 2 ** 32, where need be cut at the carry; that leaves 2 ** 32 at least, of which
+an id takes 24 bits at most, so a step passes one word at most. All blocks of a frame advance
 together, one id per step, as array operations; each has its own coder and weights, so with the
 frame's head any block can be decoded alone. Arithmetic is on integers, equal on every machine.
 """
@@ -20,15 +22,15 @@ import numpy as np
 
 BLOCK, _SLAB = 1024, 512
 _CONTEXTS, _TOTAL = 1 << 16, 17  # of each order; the missed ids' counts add up to 2 ** _TOTAL
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-_S12, _S16, _S48, _ST = np.uint64(12), np.uint64(16), np.uint64(48), np.uint64(_TOTAL)
+_WORD, _BELOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_S12, _S32, _ST = np.uint64(12), np.uint64(32), np.uint64(_TOTAL)
 _ONE = np.uint64(4096)
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int32)
-_CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int32)
-_APART = -300  # what order 1 says for order 2's prediction where its own is another
+_CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int16)
+_APART = np.int16(-300)  # what order 1 says for order 2's prediction where its own is another
 _SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2200, 2201)], np.int32), 48, 4048)
 _HEAVIEST = 300_000  # times three inputs below 2308, within 32 bits
-_MAGIC = b"DWI2"
+_MAGIC = b"DWI3"
 
 
 def _order2(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
@@ -105,15 +107,9 @@ def _lanes(n: int) -> tuple[int, int]:
     return k, n - (k - 1) * BLOCK
 
 
-def _unsettled(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coders that pass a word on, and whether its bits are the same over the whole range."""
-    settled = (low ^ (low + rng)) < _TOP
-    go = np.flatnonzero(settled | (rng < _BOT))
-    return go, settled[go]
-
-
-def _narrowed(low: np.ndarray, rng: np.ndarray, settled: np.ndarray) -> np.ndarray:
-    return np.where(settled, rng, (~low + np.uint64(1)) & (_BOT - np.uint64(1)))
+def _narrowed(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """The ranges up to where the word that is passed on would change."""
+    return np.minimum(rng, _WORD - (low & _BELOW))
 
 
 def encode_frame(ids: np.ndarray) -> bytes:
@@ -133,20 +129,21 @@ def encode_frame(ids: np.ndarray) -> bytes:
         context[at] = _order2(x1[at].astype(np.int64), x2[at].astype(np.int64))
     guess1, conf1 = _followers(x1, x)
     guess2, conf2 = _followers(context, x)
+    say1, say2 = _CONF[conf1], _CONF[conf2]
     by1, by2, grid, hits = (np.zeros((BLOCK, k), kind) for kind in (np.int16, np.int16, np.uint16, bool))  # a row for each step
     for at in slabs:
         c, c1 = context[at].astype(np.int64), x1[at].astype(np.int64)
         guess = guess2[c]
         held[at] = guess == x[at]
-        of1 = np.where(guess1[c1] == guess, _CONF[conf1[c1]], _APART)
-        for to, part in ((by1, of1), (by2, _CONF[conf2[c]]), (grid, x[at]), (hits, held[at])):
+        of1 = np.where(guess1[c1] == guess, say1[c1], _APART)
+        for to, part in ((by1, of1), (by2, say2[c]), (grid, x[at]), (hits, held[at])):
             first, full = at.start // BLOCK, len(part) // BLOCK
             to[:, first : first + full] = part[: full * BLOCK].reshape(full, BLOCK).T
             to[: len(part) - full * BLOCK, first + full : first + full + 1] = part[full * BLOCK :, None]
     share = _shares(x[~held])
     first, share_of = (np.cumsum(share, dtype=np.int64) - share).astype(np.uint64), share.astype(np.uint64)
     del x, x1, x2, context, held
-    out, at = np.zeros((3 * BLOCK + 8, k), np.uint16), np.zeros(k, np.int64)  # blocks are about as far, so what is written lies close
+    out, at = np.zeros((BLOCK + 2, k), np.uint32), np.zeros(k, np.int64)  # blocks are about as far, so what is written lies close
     lows, rngs = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
     m = _Mixer(k)
     for t in range(BLOCK if k > 1 else last):
@@ -161,22 +158,17 @@ def encode_frame(ids: np.ndarray) -> bytes:
         low[missed] += r * first[s]
         rng[missed] = r * share_of[s]
         m.train(a, hit)
-        live, settled = _unsettled(low, rng)
-        while len(live):
-            lo, rg = low[live], rng[live]
-            rg = _narrowed(lo, rg, settled)
-            own = at[live]
-            out[own, live] = lo >> _S48
-            at[live] = own + 1
-            lo, rg = lo << _S16, rg << _S16
-            low[live], rng[live] = lo, rg
-            more, settled = _unsettled(lo, rg)
-            live = live[more]
-    for _ in range(4):
-        out[at, np.arange(k)] = lows >> _S48
+        live = np.flatnonzero(rng < _WORD)
+        lo, own = low[live], at[live]
+        out[own, live] = lo >> _S32
+        at[live] = own + 1
+        rng[live] = _narrowed(lo, rng[live]) << _S32
+        low[live] = lo << _S32
+    for _ in range(2):
+        out[at, np.arange(k)] = lows >> _S32
         at += 1
-        lows <<= _S16
-    out = np.ascontiguousarray(out[: at.max()].T, "<u2")
+        lows <<= _S32
+    out = np.ascontiguousarray(out[: at.max()].T, "<u4")
     model = zlib.compress(guess1.astype("<u2").tobytes() + conf1.tobytes() + guess2.astype("<u2").tobytes() + conf2.tobytes() + share.astype("<u4").tobytes(), 1)
     head = struct.pack("<4sQII", _MAGIC, n, k, len(model)) + np.array(at, "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
     return head + model + b"".join(out[i, : at[i]].tobytes() for i in range(k))
@@ -208,12 +200,12 @@ def decode_frame(data: bytes) -> np.ndarray:
     say1, say2 = _CONF[conf1], _CONF[conf2]
     first, share_of = (np.cumsum(share) - share).astype(np.uint64), share.astype(np.uint64)
     symbol = np.repeat(np.arange(_CONTEXTS, dtype=np.uint16), share)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), body + size)
-    words = np.concatenate([words, np.zeros(4, "<u2")])
+    words = np.frombuffer(data, "<u4", int(sizes.sum()), body + size)
+    words = np.concatenate([words, np.zeros(2, "<u4")])
     at = np.cumsum(sizes) - sizes
     codes = np.zeros(k, np.uint64)
-    for _ in range(4):
-        codes = (codes << _S16) | words[at]
+    for _ in range(2):
+        codes = (codes << _S32) | words[at]
         at += 1
     end = len(words) - 1
     lows, rngs = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
@@ -240,17 +232,12 @@ def decode_frame(data: bytes) -> np.ndarray:
         grid[t, :a] = x
         x2, x1 = x1, x
         m.train(a, hit)
-        live, settled = _unsettled(low, rng)
-        while len(live):
-            lo, rg = low[live], rng[live]
-            rg = _narrowed(lo, rg, settled)
-            own = at[live]
-            code[live] = (code[live] << _S16) | words[np.minimum(own, end)]
-            at[live] = own + 1
-            lo, rg = lo << _S16, rg << _S16
-            low[live], rng[live] = lo, rg
-            more, settled = _unsettled(lo, rg)
-            live = live[more]
+        live = np.flatnonzero(rng < _WORD)
+        lo, own = low[live], at[live]
+        code[live] = (code[live] << _S32) | words[np.minimum(own, end)]
+        at[live] = own + 1
+        rng[live] = _narrowed(lo, rng[live]) << _S32
+        low[live] = lo << _S32
     ids = grid.T.astype("<u4").reshape(-1)[:n]
     if k == 1:
         ids = grid[:last, 0].astype("<u4")

@@ -442,6 +442,27 @@ def test_tokens_equal_the_library():
     assert [np.frombuffer(x, np.uint32).tolist() for x in got] == plain_ids(texts)
 
 
+def test_words_are_learnt_once_whatever_marks_follow():
+    r = random.Random(5)
+    words = [w + e for w in ("".join(r.choices("abcdefgh", k=8)) for _ in range(50)) for e in ("x", "é", "7")]
+    ends = [".", ",", ",%%%", "!?", "***", ".\n", "'s", ".'", "-"]
+    own = tokens.Encoder(tokens.default_path())
+    texts = ["a " + " ".join(w + e for w in words) for e in ["", *ends]]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == plain_ids(texts)
+    assert len(own.chunks) <= 3 * len(words) + len(ends) + 1  # each word, with 's and with .' after it too; 1,500 when chunks were whole
+
+
+def test_places_that_marks_only_seem_to_cut():
+    r = random.Random(6)
+    parts = ["a", "é", "×", "÷", "ÿ", "ª", "²", "€", "’", "\u0301", "'", "'s", "'ll", ".", "%%", "_", "<", "|", "\n", "\n\n", "\t", "\r", "\xa0", "\u2028", "9", "日", "ő", " ", " ", " "]
+    own = tokens.Encoder(tokens.default_path(), most=50)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(4000)] + ["a\n\n", "a b.\n\n", "a b\n\n\n"]
+    got = [x for i in range(0, len(texts), 300) for x in own.encode(texts[i : i + 300])]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == plain_ids(texts)
+    assert [own.encode([t])[0] for t in ("", " ", "a", "a b.")] == [np.array(x, np.uint32).tobytes() for x in plain_ids(["", " ", "a", "a b."])]
+
+
 def test_kept_ids_take_little_memory():
     import tracemalloc
 
@@ -677,6 +698,17 @@ def test_codec_counts_contexts_of_a_whole_frame():
             id_codec.decode_frame(bytes(bad))
 
 
+def test_codec_of_rare_surprises():
+    """A missed id where the prediction was nearly certain narrows a coder's range the most in a step."""
+    r = np.random.default_rng(9)
+    for share in (0.001, 0.05):
+        x = np.zeros(30_000, np.uint32)
+        odd = r.random(len(x)) < share
+        x[odd] = r.integers(0, 65536, odd.sum())
+        data = id_codec.encode_frame(x)
+        assert (id_codec.decode_frame(data) == x).all()
+
+
 def test_token_files(spark, docs, tmp_path):
     path = f"file://{tmp_path}/ids"
     some = docs.where("doc_id is not null")
