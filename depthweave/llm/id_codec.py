@@ -24,7 +24,6 @@ BLOCK, _SLAB = 1024, 512
 _CONTEXTS, _TOTAL = 1 << 16, 17  # of each order; the missed ids' counts add up to 2 ** _TOTAL
 _WORD, _BELOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 _S12, _S32, _ST = np.uint64(12), np.uint64(32), np.uint64(_TOTAL)
-_ONE = np.uint64(4096)
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int32)
 _CONF = np.array([round(256 * math.log((c + 0.5) / (255.5 - c))) for c in range(256)], np.int16)
 _APART = np.int16(-300)  # what order 1 says for order 2's prediction where its own is another
@@ -151,11 +150,12 @@ def encode_frame(ids: np.ndarray) -> bytes:
         low, rng, hit = lows[:a], rngs[:a], hits[t, :a]
         p = m.chance(a, by2[t, :a], by1[t, :a]).astype(np.uint64)
         rng >>= _S12
-        low += np.where(hit, np.uint64(0), rng * p)
-        rng *= np.where(hit, p, _ONE - p)
         missed = np.flatnonzero(~hit)
-        s, r = grid[t, missed], rng[missed] >> _ST
-        low[missed] += r * first[s]
+        rest = rng[missed] << _S12
+        rng *= p
+        s, bound = grid[t, missed], rng[missed]
+        r = (rest - bound) >> _ST
+        low[missed] += bound + r * first[s]
         rng[missed] = r * share_of[s]
         m.train(a, hit)
         live = np.flatnonzero(rng < _WORD)
@@ -221,10 +221,10 @@ def decode_frame(data: bytes) -> np.ndarray:
         rng >>= _S12
         bound = rng * p
         hit = code - low < bound
-        low += np.where(hit, np.uint64(0), bound)
-        rng *= np.where(hit, p, _ONE - p)
         missed = np.flatnonzero(~hit)
-        lo, r = low[missed], rng[missed] >> _ST
+        below = bound[missed]
+        lo, r = low[missed] + below, ((rng[missed] << _S12) - below) >> _ST
+        rng[:] = bound
         s = symbol[np.minimum((code[missed] - lo) // r, most).astype(np.int64)]
         low[missed] = lo + r * first[s]
         rng[missed] = r * share_of[s]
