@@ -27,6 +27,7 @@ than once; where its plan shuffles, so that its order may differ, it is written
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -46,6 +47,7 @@ _TABLE = blank_table(lower=True)
 BLOOM = 1 << 25
 RANGES = 128
 BLOCK = 4 << 20  # bytes of text
+PIECE = 1 << 20  # bytes of text hashed at once, if a text isn't longer; a block ends where it is nearest to BLOCK
 CROWD = 64
 CROWDED_KEY = 4096  # classes of a shingle that one task compares with all others
 BEFORE = 16
@@ -120,35 +122,67 @@ def _blocks(batches, k: int):
 
     def made():
         cls, sets = np.array(list(held), np.int64), [np.zeros(0, np.uint64), *held.values()]
+        held.clear()
         n = np.array([len(s) for s in sets[1:]], np.int64)
         mark = int(mix(cls.view(np.uint64)).sum(dtype=np.uint64) >> np.uint64(40)) if len(cls) else 0
         return (part << 44) + (number << 24) + mark, cls, n, np.concatenate(sets), np.repeat(np.arange(len(n), dtype=np.uint32), n), rows
 
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", PIECE):
         sets = shingle_sets(b.column("text"), k)
         own = [class_of(s) for s in sets]
         held |= {c: s for c, s in zip(own, sets, strict=True) if len(s)}
-        rows.append((b.column("doc_id"), [len(s) for s in sets], own))
+        rows.append((b.column("doc_id").take(pa.array(np.arange(len(b)))), [len(s) for s in sets], own))  # a slice would hold its batch's texts
         size += b.column("text").nbytes
-        if size >= BLOCK:
+        del b, sets, own
+        if size >= BLOCK - PIECE // 2:
             yield made()
-            number, held, rows, size = number + 1, {}, [], 0
+            number, rows, size = number + 1, [], 0
     if rows:
         yield made()
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    return np.flatnonzero(np.append(np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))
+
+
 def _local(token: np.ndarray, doc: np.ndarray):
     """Shingles in order, and which of them too many of the block's texts have."""
     by = np.argsort(token, kind="stable")
     token, doc = token[by], doc[by]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    size = np.diff(np.append(start, len(token)))
+    del by
+    start = _starts(token)
+    size = np.diff(start, append=len(token)).astype(np.uint32)
     return token, doc, start, size, size > CROWD
 
 
 _SENT = "kind int, key long, block long, data binary"
 
 
+def _messages(block: int, cls: np.ndarray, token: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A block's message to each bucket, one put in order at a time."""
+    token, doc, start, size, crowded = _local(token, doc)
+    keep = ~np.repeat(crowded, size)
+    first, many = token[start[crowded]], size[crowded]
+    del start, size
+    token, doc, count = np.append(token[keep], first), np.append(doc[keep], np.full(len(first), _CROWDED)), np.append(np.ones(keep.sum(), np.uint32), many)
+    del keep
+    low = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    token >>= np.uint64(32)
+    token %= np.uint64(buckets)
+    where = token.astype(np.uint32)
+    del token
+    by = np.argsort(where, kind="stable")
+    keys, sent = [], []
+    for lo, hi in itertools.pairwise([*_starts(where[by]).tolist(), len(by)]):
+        at = by[lo:hi]
+        keys.append(int(where[at[0]]))
+        at = at[np.lexsort((doc[at], low[at]))]
+        there = np.unique(doc[at])
+        sent.append(_joined([_pack(np.diff(low[at], prepend=np.uint32(0))), _pack(doc[at]), _pack(count[at]), _pack(there), _pack(cls[there[there != _CROWDED]])]))
+    return pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array(sent, pa.binary())], names=["kind", "key", "block", "data"])
+
+
 def _ask(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """To each bucket: a block's shingles (low 32 bits, in order), their texts, those texts' classes.
 
@@ -157,19 +191,9 @@ def _ask(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     def run(batches):
         for block, cls, _, token, doc, _ in _blocks(batches, k):
-            if not len(token):
-                continue
-            token, doc, start, size, crowded = _local(token, doc)
-            keep = ~np.repeat(crowded, size)
-            tokens, docs_, counts = np.concatenate([token[keep], token[start[crowded]]]), np.concatenate([doc[keep], np.full(crowded.sum(), _CROWDED, np.uint32)]), np.concatenate([np.ones(keep.sum(), np.uint32), size[crowded].astype(np.uint32)])
-            where = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((docs_, tokens & np.uint64(0xFFFFFFFF), where))
-            rows = []
-            for at in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
-                low = (tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                there = np.unique(docs_[at])
-                rows.append((int(where[at[0]]), _joined([_pack(np.diff(low, prepend=np.uint32(0))), _pack(docs_[at]), _pack(counts[at]), _pack(there), _pack(cls[there[there != _CROWDED]])])))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "key", "block", "data"])
+            if len(token):
+                yield _messages(block, cls, token, doc, buckets)
+                del token, doc  # before the next block is made
 
     return docs.mapInArrow(run, _SENT)
 
@@ -190,28 +214,48 @@ def _own(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """To each block: which of its shingles more than one class has, and in how many texts."""
-    parts = []
-    for i, data in enumerate(group["data"]):
-        low, doc, count, there, cls = _parted(data)
-        low, doc, count = np.cumsum(_unpack(low, np.uint32), dtype=np.uint32), _unpack(doc, np.uint32), _unpack(count, np.uint32)
-        cls = np.append(_unpack(cls, np.int64), -1)  # the last: of a crowded shingle
-        parts.append((low, doc, count, cls[np.searchsorted(_unpack(there, np.uint32), doc)], np.full(len(low), i)))
-    low, doc, count, cls, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """To each block: which of its shingles more than one class has, and in how many texts.
+
+    Columns are unpacked one after the other: a bucket has millions of shingles.
+    """
+    sent = [_parted(data) for data in group["data"]]
+
+    def column(i: int) -> np.ndarray:
+        return np.concatenate([_unpack(x[i], np.uint32) for x in sent])
+
+    low = np.concatenate([np.cumsum(_unpack(x[0], np.uint32), dtype=np.uint32) for x in sent])
     by = np.argsort(low, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], np.diff(low[by]) != 0]))
-    size = np.diff(np.append(start, len(by)))
-    total = np.add.reduceat(count[by].astype(np.int64), start)
-    shared = (np.minimum.reduceat(cls[by], start) != np.maximum.reduceat(cls[by], start)) | np.logical_or.reduceat(doc[by] == _CROWDED, start)
-    keep = np.sort(by[np.repeat(shared, size)])
-    seen = np.empty(len(by), np.int64)
-    seen[by] = np.repeat(total, size)
+    low = low[by]
+    start = _starts(low)
+    del low
+    doc = column(1)
+    ends = np.cumsum([len(_unpack(x[1], np.uint32)) for x in sent])
+    cls = np.empty(len(doc), np.int64)
+    for x, lo, hi in zip(sent, np.append(0, ends).tolist(), ends.tolist(), strict=False):
+        cls[lo:hi] = np.append(_unpack(x[4], np.int64), -1)[np.searchsorted(_unpack(x[3], np.uint32), doc[lo:hi])]  # the last: of a crowded shingle
+    cls = cls[by]
+    shared = np.append(False, cls[1:] != cls[:-1])
+    del cls
+    shared[start] = False
+    shared |= (doc == _CROWDED)[by]
+    del doc
+    shared = np.logical_or.reduceat(shared, start)
+    size = np.diff(start, append=len(by))
+    seen = np.minimum(np.add.reduceat(column(2)[by], start, dtype=np.int64), 2**31).astype(np.uint32)
+    del start
+    keep = by[np.repeat(shared, size)]
+    seen = np.repeat(seen[shared], size[shared])
+    del by, size
+    order = np.argsort(keep)
+    keep, seen = keep[order], seen[order]
+    del order
     bucket, rows = int(group["key"].iloc[0]), []
-    for i, block in enumerate(group["block"]):
-        lo, hi = np.searchsorted(of[keep], [i, i + 1])
-        at = keep[lo:hi]
-        if len(at):
-            rows.append((2, bucket, block, _joined([_pack(low[at]), _pack(doc[at]), _pack(np.minimum(seen[at], 2**31).astype(np.uint32))])))
+    for block, x, lo, hi in zip(group["block"], sent, np.append(0, ends).tolist(), ends.tolist(), strict=False):
+        a, b = np.searchsorted(keep, [lo, hi])
+        if a < b:
+            at = keep[a:b] - lo
+            low = np.cumsum(_unpack(x[0], np.uint32), dtype=np.uint32)
+            rows.append((2, bucket, block, _joined([_pack(low[at]), _pack(_unpack(x[1], np.uint32)[at]), _pack(seen[a:b])])))
     return pd.DataFrame(rows, columns=["kind", "key", "block", "data"])
 
 
@@ -293,7 +337,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield from _with_sets(b.take(pa.array(np.flatnonzero((own[at >> 3] >> (at & 7)) & 1))))
 
     def _with_sets(rows):
-        for b in pieces([rows], "text"):
+        for b in pieces([rows], "text", PIECE):
             sets = shingle_sets(b.column("text"), k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), range_counts(sets), b.column("text")], names=["doc_id", "cls", "n", "ranges", "text"])
 
@@ -309,7 +353,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("other"))
 
     def verify(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             ok = [similar(x, y, num, den) for x, y in zip(shingle_sets(b.column("text"), k), shingle_sets(b.column("other"), k), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

@@ -152,6 +152,7 @@ def cut_documents(df: DataFrame, tokenizer: str, size: int, doc_id: str = "doc_i
                 of, k, start, n, crc = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(doc_id).take(of), k.cast(pa.int32()), start, n, crc], names=[doc_id, "piece", "start", "length", "ids_crc32"])
         finally:
+            own = None  # what is still named here isn't given back
             trim() if keep else forget()  # else an idle worker keeps the ids while other stages run
 
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, piece int, start long, length long, ids_crc32 long")

@@ -81,7 +81,7 @@ def text_bytes(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
     return view, ends - ends[0]
 
 
-def split(texts: pa.Array, table: bytes, step: int = 1 << 20) -> Words:
+def split(texts: pa.Array, table: bytes, step: int = 1 << 18) -> Words:
     view, at = text_bytes(texts)
     raw = view.tobytes().translate(table)
     a = np.frombuffer(raw, np.uint8)
@@ -105,7 +105,9 @@ def split(texts: pa.Array, table: bytes, step: int = 1 << 20) -> Words:
         lo, hi = int(starts[i]), int(ends[j - 1])
         up, down = _power(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[a[lo:hi]] * up[: hi - lo], out=sums[1:])
+        terms = _BYTE[a[lo:hi]]
+        terms *= up[: hi - lo]
+        np.cumsum(terms, out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         hashes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j

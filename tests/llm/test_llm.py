@@ -496,6 +496,21 @@ def test_workers_give_back_ids_and_get_small_batches(spark):
         spark.conf.set(key, old)
 
 
+def test_ids_are_free_when_a_worker_gives_them_back(monkeypatch):
+    import weakref
+    from types import SimpleNamespace
+
+    steps, alive, path = [], [], tokens.default_path()
+    docs = SimpleNamespace(dtypes=[("doc_id", "bigint"), ("text", "string")], mapInArrow=lambda f, _: steps.append(f))
+    docs.select = lambda *_: docs
+    packing.cut_documents(docs, path, 8)
+    own = weakref.ref(tokens.encoder(path))
+    monkeypatch.setattr(packing, "forget", lambda: (tokens._encoders.clear(), alive.append(own() is not None)))
+    rows = list(steps[0]([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words " * 9, None]})]))
+    assert sum(rows[0].column("length").to_pylist()) == len(tokens.encoder(path).encode(["some words " * 9])[0]) // 4 + 2
+    assert alive == [False]
+
+
 def test_packing(docs, empty):
     cuts = packing.cut_documents(docs, tokens.default_path(), 64)
     out = packing.pack_pieces(cuts, 64, cell=20).toPandas()
@@ -657,6 +672,54 @@ def test_jaccard_groups(docs, empty, k, num, den):
         assert jaccard_join.jaccard_groups(empty, k, num, den).count() == 0
 
 
+def test_blocks_and_buckets_take_little_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(jaccard_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randint(3, 7))) for _ in range(3000)]
+    texts = [[*vocab[:20], *r.choices(vocab, k=15_000)] for _ in range(96)]
+    texts[1::4] = [[*t[:9000], "other", *t[9000:]] for t in texts[::4]]
+    texts[2::12] = texts[::12]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(t) for t in texts]})
+    size, blocks = batch.column("text").nbytes, list(jaccard_join._blocks([batch], 3))
+    held = [sum(len(batch.column("text")[i].as_py()) for ids, _, _ in b[-1] for i in ids.to_pylist()) for b in blocks]
+    assert size > 2 * jaccard_join.BLOCK and 0.99 * size < sum(held) <= size
+    assert max(held) < 1.2 * jaccard_join.BLOCK  # two pieces of just under a block were one block
+
+    steps = []
+    jaccard_join._ask(SimpleNamespace(mapInArrow=lambda f, _: steps.append(f)), 3, 1)
+    sent, most = peak(lambda: pa.Table.from_batches(list(steps[0]([batch]))).to_pandas())
+    assert most < 14 * jaccard_join.BLOCK
+    answers, most = peak(lambda: jaccard_join._answer(sent))
+    assert most < 60 * sum(len(b[3]) for b in blocks)
+
+    seen, rows, classes = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for _, cls, _, token, doc, _ in blocks:
+        own = collections.Counter(token.tolist())
+        for x, d in zip(token.tolist(), doc.tolist(), strict=True):
+            classes[x & 0xFFFFFFFF].add(int(cls[d]))
+        for x, m in own.items():
+            seen[x & 0xFFFFFFFF] += m
+            rows[x & 0xFFFFFFFF] += m if m <= 8 else 1
+    want = {x: (rows[x], seen[x]) for x, c in classes.items() if len(c) > 1}
+    got: dict = {}
+    for data in answers["data"]:
+        low_, _, total = (jaccard_join._unpack(x, np.uint32).tolist() for x in jaccard_join._parted(data))
+        for x, y in zip(low_, total, strict=True):
+            got[x] = (got.get(x, (0,))[0] + 1, y)
+    assert got == want and any(m > 8 and n < m for n, m in want.values())
+
+
 def test_connected(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
